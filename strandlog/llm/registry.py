@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from strandlog.llm.packing import op6_pack_bounded
+from strandlog.llm.pieces import op7_sentencepiece
 from strandlog.llm.sharding import op5_shard_histogram_sort
 
 
 def queries() -> dict:
     return {
         "op5_shard_histogram_sort": op5_shard_histogram_sort,
+        "op6_pack_bounded": op6_pack_bounded,
+        "op7_sentencepiece": op7_sentencepiece,
     }
 
 
