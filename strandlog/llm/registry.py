@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandlog.llm.language import op10_language_bigru
 from strandlog.llm.packing import op6_pack_bounded
 from strandlog.llm.pieces import op7_sentencepiece
 from strandlog.llm.sharding import op5_shard_histogram_sort
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op5_shard_histogram_sort": op5_shard_histogram_sort,
         "op6_pack_bounded": op6_pack_bounded,
         "op7_sentencepiece": op7_sentencepiece,
+        "op10_language_bigru": op10_language_bigru,
     }
 
 
