@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandlog.llm.language import op10_language_bigru
 from strandlog.llm.packing import op6_pack_bounded
 from strandlog.llm.pieces import op7_sentencepiece
+from strandlog.llm.repetition import op4_repetition_suffix
 from strandlog.llm.similar import op9_similar_rtree
 from strandlog.llm.substrings import op2_substring_superkmer
 from strandlog.llm.sharding import op5_shard_histogram_sort
@@ -13,6 +14,7 @@ from strandlog.llm.sharding import op5_shard_histogram_sort
 def queries() -> dict:
     return {
         "op2_substring_superkmer": op2_substring_superkmer,
+        "op4_repetition_suffix": op4_repetition_suffix,
         "op5_shard_histogram_sort": op5_shard_histogram_sort,
         "op6_pack_bounded": op6_pack_bounded,
         "op7_sentencepiece": op7_sentencepiece,
