@@ -7,6 +7,7 @@ from strandlog.llm.packing import op6_pack_bounded
 from strandlog.llm.pieces import op7_sentencepiece
 from strandlog.llm.repetition import op4_repetition_suffix
 from strandlog.llm.similar import op9_similar_rtree
+from strandlog.llm.toxicity import op3_toxicity_channel
 from strandlog.llm.substrings import op2_substring_superkmer
 from strandlog.llm.sharding import op5_shard_histogram_sort
 
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op2_substring_superkmer": op2_substring_superkmer,
         "op4_repetition_suffix": op4_repetition_suffix,
+        "op3_toxicity_channel": op3_toxicity_channel,
         "op5_shard_histogram_sort": op5_shard_histogram_sort,
         "op6_pack_bounded": op6_pack_bounded,
         "op7_sentencepiece": op7_sentencepiece,
