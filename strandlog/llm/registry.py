@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandlog.llm.language import op10_language_bigru
 from strandlog.llm.packing import op6_pack_bounded
+from strandlog.llm.pagetext import op8_pages_consensus
 from strandlog.llm.pieces import op7_sentencepiece
 from strandlog.llm.repetition import op4_repetition_suffix
 from strandlog.llm.similar import op9_similar_rtree
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_shard_histogram_sort": op5_shard_histogram_sort,
         "op6_pack_bounded": op6_pack_bounded,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_pages_consensus": op8_pages_consensus,
         "op9_similar_rtree": op9_similar_rtree,
         "op10_language_bigru": op10_language_bigru,
     }
