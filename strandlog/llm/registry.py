@@ -9,12 +9,14 @@ from strandlog.llm.pieces import op7_sentencepiece
 from strandlog.llm.repetition import op4_repetition_suffix
 from strandlog.llm.similar import op9_similar_rtree
 from strandlog.llm.toxicity import op3_toxicity_channel
+from strandlog.llm.topk import OP1_SQL, op1_topk_histogram
 from strandlog.llm.substrings import op2_substring_superkmer
 from strandlog.llm.sharding import op5_shard_histogram_sort
 
 
 def queries() -> dict:
     return {
+        "op1_topk_histogram": op1_topk_histogram,
         "op2_substring_superkmer": op2_substring_superkmer,
         "op4_repetition_suffix": op4_repetition_suffix,
         "op3_toxicity_channel": op3_toxicity_channel,
@@ -28,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_histogram": OP1_SQL}
