@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import glob
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,6 +58,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             at = to
 
 
+@contextlib.contextmanager
+def one_thread() -> Iterator[None]:
+    """numpy's own OpenBLAS on one thread: for many small products its threads cost ten times what they bring.
+    Without that library (another BLAS) nothing changes."""
+    found = glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*"))
+    blas = ctypes.CDLL(found[0]) if found else None
+    get, put = (getattr(blas, f"scipy_openblas_{x}_num_threads64_", None) for x in ("get", "set"))
+    before = get() if get and put else 0
+    if before:
+        put(1)
+    try:
+        yield
+    finally:
+        if before:
+            put(before)
+
+
 # ---------------------------------------------------------------- words as arrays
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import slices, table
+from strandlog.llm.common import one_thread, slices, table
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -195,7 +195,10 @@ def fit(docs: DataFrame, per_language: int = 400) -> Network | None:
     for r in usable.where(F.col("draw") < share).orderBy("draw").limit(2 * per_language * len(counts)).collect():
         found.setdefault(r["lang"], []).append(r["text"].encode())
     samples = [(x, lang) for lang, xs in found.items() for x in xs[:per_language] if x]
-    return train(samples) if samples else None
+    if not samples:
+        return None
+    with one_thread():
+        return train(samples)
 
 
 def apply(docs: DataFrame, net: Network | None) -> DataFrame:
