@@ -2,10 +2,498 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def core_queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from strandlog.functions import similarity
+from strandlog.functions.hashing import line_hash_column, safe_filename_column, struct_hash, url_encode_column
+from strandlog.operators import merge, provenance, reconcile, reconstruct, revocation, tokens
+from strandlog.plans.derived import PRELUDE, Views
+from strandlog.sources import wiki
 
-def core_oracles() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, prelude: bool = True) -> Callable:
+    def register(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        name = f.__name__
+        _QUERIES[name] = f
+        if sql is not None:
+            _ORACLES[name] = (PRELUDE if prelude else "") + sql
+        return f
+
+    return register
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in _QUERIES.items()}
+
+
+def core_oracles() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _flat(records: DataFrame) -> DataFrame:
+    return records.select("row_id", "line_hash", "file")
+
+
+FLAT = "SELECT row_id, line_hash, file FROM records"
+ACTIVE = " row_id NOT IN (SELECT row_id FROM touched) AND NOT revoked"
+
+# ---------------------------------------------------------------- authors and sections
+
+
+@_query("SELECT id, name, email, revoked FROM authors WHERE name = 'src4'")
+def authors_query(v: Views) -> DataFrame:
+    return provenance.query_authors(v.authors(), name="src4")
+
+
+@_query("SELECT id, name, email, revoked FROM authors WHERE name = 'src4' AND email = 'src4@example.com'")
+def authors_by_name_and_email(v: Views) -> DataFrame:
+    return provenance.query_authors(v.authors(), name="src4", email="src4@example.com")
+
+
+@_query("SELECT id, name, email, revoked FROM authors")
+def authors_all(v: Views) -> DataFrame:
+    return v.authors()
+
+
+@_query("SELECT name FROM authors WHERE email = 'src6@example.com' ORDER BY id LIMIT 1")
+def author_name_of_email(v: Views) -> DataFrame:
+    return provenance.first_email_name(v.authors(), "src6@example.com")
+
+
+@_query("SELECT section_hash, path FROM sections WHERE license = 'MIT'")
+def sections_by_license(v: Views) -> DataFrame:
+    return provenance.query_sections(v.sections(), license="MIT").select("section_hash", "path")
+
+
+@_query("SELECT section_hash, path FROM sections WHERE path = 'raw/src1/en.txt'")
+def sections_by_path(v: Views) -> DataFrame:
+    return provenance.query_sections(v.sections(), path="raw/src1/en.txt").select("section_hash", "path")
+
+
+@_query("SELECT section_hash, path FROM sections WHERE starts_with(path, 'raw/src1')")
+def sections_by_path_prefix(v: Views) -> DataFrame:
+    return provenance.query_sections(v.sections(), prefix="raw/src1").select("section_hash", "path")
+
+
+@_query("SELECT section_hash, path FROM sections WHERE list_contains(authors, (SELECT id FROM authors WHERE name = 'src0'))")
+def sections_by_author(v: Views) -> DataFrame:
+    hashes = provenance.sections_of_authors(v.sections(), provenance.query_authors(v.authors(), name="src0"))
+    return v.sections().join(hashes, "section_hash", "left_semi").select("section_hash", "path")
+
+
+@_query("SELECT section_hash FROM bad_sections")
+def sections_revoked(v: Views) -> DataFrame:
+    return provenance.revoked_sections(v.sections(), v.authors())
+
+
+@_query(
+    """, refs AS (SELECT unnest(['src1', 'src2@example.com', (SELECT id FROM authors WHERE name = 'src3'), 'nobody']) AS ref),
+    m AS (SELECT ref, id, 0 AS r, 'id' AS k FROM refs JOIN authors ON ref = id UNION ALL SELECT ref, id, 1, 'name' FROM refs JOIN authors ON ref = name
+      UNION ALL SELECT ref, id, 2, 'email' FROM refs JOIN authors ON ref = email),
+    b AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY r, id) AS n FROM m)
+    SELECT refs.ref, b.id, b.k AS matched_by FROM refs LEFT JOIN b ON refs.ref = b.ref AND b.n = 1"""
+)
+def resolve_authors(v: Views) -> DataFrame:
+    spark = v.spark
+    refs = spark.createDataFrame([("src1",), ("src2@example.com",), ("nobody",)], "ref string").unionByName(provenance.query_authors(v.authors(), name="src3").select(F.col("id").alias("ref")))
+    return provenance.resolve_authors(v.authors(), refs)
+
+
+# ---------------------------------------------------------------- document records
+
+
+@_query(FLAT)
+def show_all_records(v: Views) -> DataFrame:
+    return _flat(v.records())
+
+
+@_query(FLAT + " WHERE" + ACTIVE)
+def show_active(v: Views) -> DataFrame:
+    return _flat(provenance.show(v.records(), v.sections(), v.authors()))
+
+
+@_query(FLAT + " WHERE row_id IN (SELECT row_id FROM touched) OR revoked")
+def show_revoked(v: Views) -> DataFrame:
+    return _flat(provenance.show(v.records(), v.sections(), v.authors(), revoked=True))
+
+
+@_query(FLAT + " WHERE row_id NOT IN (SELECT row_id FROM touched)")
+def show_active_sections_only(v: Views) -> DataFrame:
+    return _flat(provenance.show(v.records(), v.sections(), v.authors(), line_level=False))
+
+
+_OF = " row_id IN (SELECT row_id FROM edges JOIN (SELECT section_hash, unnest(authors) AS a FROM sections) USING (section_hash) JOIN authors ON a = id WHERE {})"
+
+
+@_query(FLAT + " WHERE" + ACTIVE + " AND" + _OF.format("name = 'src2'"))
+def show_by_author(v: Views) -> DataFrame:
+    return _flat(provenance.show(v.records(), v.sections(), v.authors(), author="src2"))
+
+
+@_query(FLAT + " WHERE" + ACTIVE + " AND" + _OF.format("email = 'src0@example.com'"))
+def show_by_email(v: Views) -> DataFrame:
+    return _flat(provenance.show(v.records(), v.sections(), v.authors(), email="src0@example.com"))
+
+
+@_query(FLAT + " WHERE" + ACTIVE + " AND row_id IN (SELECT row_id FROM edges JOIN extra ON section_hash = h)")
+def show_by_section(v: Views) -> DataFrame:
+    # the hash named here is the one of the English section of src2
+    from strandlog.functions.hashing import author_id, section_hash
+
+    h = section_hash("raw/src2/en.txt", [author_id("src2", "src2@example.com")], "MIT", "2024")
+    return _flat(provenance.show(v.records(), v.sections(), v.authors(), section=h))
+
+
+@_query(FLAT + " WHERE" + ACTIVE + " AND row_id IN (SELECT row_id FROM edges JOIN sections USING (section_hash) WHERE license = 'Apache-2.0')")
+def show_by_license(v: Views) -> DataFrame:
+    return _flat(provenance.show(v.records(), v.sections(), v.authors(), license="Apache-2.0"))
+
+
+@_query(FLAT + " WHERE file = 'data/src1.jsonl'")
+def records_by_file(v: Views) -> DataFrame:
+    return _flat(v.records().where(F.col("file") == "data/src1.jsonl"))
+
+
+@_query(FLAT + " WHERE line_hash IN (SELECT line_hash FROM records WHERE row_id % 50 = 0)")
+def blame_lines(v: Views) -> DataFrame:
+    lines = v.records().where("row_id % 50 = 0").select("line_hash").distinct()
+    return _flat(provenance.blame(lines, v.records()))
+
+
+@_query("SELECT DISTINCT line_hash FROM records WHERE revoked OR row_id IN (SELECT row_id FROM touched)")
+def purge_hashes(v: Views) -> DataFrame:
+    return revocation.purge_set(v.records(), v.sections(), v.authors())
+
+
+@_query("SELECT DISTINCT line_hash FROM records WHERE row_id IN (SELECT row_id FROM edges JOIN sections USING (section_hash) WHERE sections.revoked)")
+def purge_hashes_by_section(v: Views) -> DataFrame:
+    return revocation.purge_set(v.records(), v.sections(), v.authors(), scope="section")
+
+
+_GONE = " line_hash IN (SELECT line_hash FROM records WHERE revoked OR row_id IN (SELECT row_id FROM touched))"
+
+
+@_query("SELECT row_id, line_hash FROM records WHERE NOT" + _GONE)
+def purge_keep(v: Views) -> DataFrame:
+    return revocation.purge_split(v.records().select("row_id", "line_hash"), purge_hashes(v))[0].select("row_id", "line_hash")
+
+
+@_query("SELECT row_id, line_hash FROM records WHERE" + _GONE)
+def purge_removed(v: Views) -> DataFrame:
+    return revocation.purge_split(v.records().select("row_id", "line_hash"), purge_hashes(v))[1].select("row_id", "line_hash")
+
+
+@_query("SELECT row_id, line_hash FROM records WHERE line_hash IN (SELECT line_hash FROM records WHERE" + _OF.format("name = 'src3'") + ")")
+def purge_by_author(v: Views) -> DataFrame:
+    hashes = provenance.records_of_sections(v.records(), provenance.sections_of_authors(v.sections(), provenance.query_authors(v.authors(), name="src3"))).select("line_hash")
+    return revocation.purge_split(v.records().select("row_id", "line_hash"), hashes)[1].select("row_id", "line_hash")
+
+
+@_query(
+    """, last AS (SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS t FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY 1),
+    kinds AS (SELECT min(event_type) AS lo FROM events)
+    SELECT pos, CASE WHEN t IS NULL THEN revoked ELSE t = lo END AS revoked FROM tokens CROSS JOIN kinds LEFT JOIN last ON CAST(pos AS VARCHAR) = key"""
+)
+def revoke_effective_flags(v: Views) -> DataFrame:
+    log = v.table("events")
+    kinds = [r[0] for r in log.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    said = log.where(F.col("event_type").isin(kinds)).select(
+        F.col("event_id").alias("seq"), F.lit("token").alias("level"), F.col("user_id").cast("string").alias("key"), F.lit(None).cast("string").alias("file"), F.lit("ws").alias("tokenizer"), F.when(F.col("event_type") == kinds[0], "revoke").otherwise("restore").alias("action")
+    )
+    return revocation.effective_flags(v.tokens(), said, "token").select("pos", "revoked")
+
+
+# ---------------------------------------------------------------- tokens
+
+_BY_SRC2 = " source_hash IN (SELECT section_hash FROM (SELECT section_hash, unnest(authors) AS a FROM sections) JOIN authors ON a = id WHERE name = 'src0')"
+
+
+@_query("SELECT CAST(coalesce(sum(token_count), 0) AS BIGINT) AS total_tokens, count(*) AS documents FROM tokens WHERE NOT revoked AND" + _BY_SRC2)
+def token_show_author(v: Views) -> DataFrame:
+    return tokens.token_totals(tokens.token_show(v.tokens(), provenance.sections_of_authors(v.sections(), provenance.query_authors(v.authors(), name="src0")), "ws"))
+
+
+@_query("SELECT pos, token_count FROM tokens WHERE NOT revoked AND" + _BY_SRC2)
+def token_entries_author(v: Views) -> DataFrame:
+    return tokens.token_show(v.tokens(), provenance.sections_of_authors(v.sections(), provenance.query_authors(v.authors(), name="src0")), "ws").select("pos", "token_count")
+
+
+@_query("SELECT pos, token_count FROM tokens WHERE revoked AND" + _BY_SRC2)
+def token_entries_revoked(v: Views) -> DataFrame:
+    return tokens.token_show(v.tokens(), provenance.sections_of_authors(v.sections(), provenance.query_authors(v.authors(), name="src0")), "ws", revoked=True).select("pos", "token_count")
+
+
+@_query("SELECT CAST(coalesce(sum(token_count), 0) AS BIGINT) AS total_tokens, count(*) AS documents FROM tokens WHERE NOT revoked AND source_hash = (SELECT section_hash FROM sections WHERE path = 'raw/src1/en.txt')")
+def token_show_section(v: Views) -> DataFrame:
+    return tokens.token_totals(tokens.token_show(v.tokens(), provenance.query_sections(v.sections(), path="raw/src1/en.txt"), "ws"))
+
+
+@_query("SELECT count(*) AS total, count(*) FILTER (NOT revoked) AS active, count(*) FILTER (revoked) AS revoked, CAST(sum(token_count) AS BIGINT) AS total_tokens FROM tokens")
+def token_status(v: Views) -> DataFrame:
+    return tokens.token_status(v.tokens(), "ws")
+
+
+@_query('SELECT pos, CAST(sum(token_count) OVER (ORDER BY pos) - token_count AS BIGINT) AS start, CAST(sum(token_count) OVER (ORDER BY pos) AS BIGINT) AS "end" FROM tokens')
+def token_ranges(v: Views) -> DataFrame:
+    return tokens.token_ranges(v.tokens(), "ws", block=4096)
+
+
+@_query("SELECT pos // 8 AS byte_idx, CAST(sum(CASE WHEN revoked THEN 1 << CAST(pos % 8 AS INTEGER) ELSE 0 END) AS INTEGER) AS byte FROM tokens GROUP BY 1")
+def forget_set_bytes(v: Views) -> DataFrame:
+    return tokens.removal_bytes(v.tokens(), "ws")
+
+
+@_query("SELECT count(*) AS revoked FROM tokens WHERE revoked")
+def forget_set_popcount(v: Views) -> DataFrame:
+    return tokens.popcount(tokens.removal_bytes(v.tokens(), "ws"))
+
+
+@_query("SELECT source_hash, pos FROM tokens")
+def inverted_source_index(v: Views) -> DataFrame:
+    return tokens.source_positions(v.tokens()).select("source_hash", "pos")
+
+
+# ---------------------------------------------------------------- status, index, export, log
+
+
+@_query(
+    """SELECT 'authors' AS layer, count(*) AS total, count(*) FILTER (revoked) AS revoked FROM authors UNION ALL SELECT 'sections', count(*), count(*) FILTER (revoked) FROM sections
+    UNION ALL SELECT 'documents', count(*), count(*) FILTER (revoked) FROM records UNION ALL SELECT 'tokens', count(*), count(*) FILTER (revoked) FROM tokens UNION ALL SELECT 'log', count(*), 0 FROM events"""
+)
+def status_layers(v: Views) -> DataFrame:
+    return provenance.layer_status(authors=v.authors(), sections=v.sections(), documents=v.records(), tokens=v.tokens(), log=v.log())
+
+
+@_query(
+    """SELECT id, 'author' AS kind, string_agg(b, ',' ORDER BY b) AS refs FROM (SELECT DISTINCT unnest(authors) AS id, substr(section_hash, 1, 2) AS b FROM sections) GROUP BY id
+    UNION ALL SELECT id, 'section', string_agg(b, ',' ORDER BY b) FROM (SELECT DISTINCT section_hash AS id, substr(line_hash, 1, 2) AS b FROM edges JOIN records USING (row_id)) GROUP BY id"""
+)
+def routing_index(v: Views) -> DataFrame:
+    return provenance.routing_index(v.authors(), v.sections(), v.records()).select("id", "kind", F.concat_ws(",", "refs").alias("refs"))
+
+
+@_query("SELECT (SELECT count(DISTINCT a) FROM (SELECT unnest(authors) AS a FROM sections)) AS authors, (SELECT count(DISTINCT section_hash) FROM edges) AS sections")
+def index_stats(v: Views) -> DataFrame:
+    return provenance.index_stats(provenance.routing_index(v.authors(), v.sections(), v.records()))
+
+
+_LINED = """, lined AS (SELECT section_hash, license, i, 'Copyright: ' || year || ' ' || name || ' <' || email || '>' AS line FROM
+  (SELECT section_hash, license, year, generate_subscripts(authors, 1) AS i, unnest(authors) AS a FROM sections WHERE NOT revoked) JOIN authors ON a = id WHERE NOT authors.revoked),
+ used AS (SELECT row_id, line_hash, file, unnest(sources) AS section_hash FROM records WHERE NOT revoked) """
+
+
+@_query(
+    _LINED
+    + """SELECT file, line_hash, section_hash, CASE WHEN license = '' THEN 'UNKNOWN' ELSE license END AS license,
+    'Files: ' || file || ':' || line_hash || chr(10) || lines || chr(10) || 'License: ' || CASE WHEN license = '' THEN 'UNKNOWN' ELSE license END || chr(10) AS block
+    FROM used JOIN (SELECT section_hash, license, string_agg(line, chr(10) ORDER BY i) AS lines FROM lined GROUP BY ALL) USING (section_hash)"""
+)
+def export_blocks(v: Views) -> DataFrame:
+    return provenance.copyright_blocks(v.records(), v.sections(), v.authors())
+
+
+@_query(_LINED + "SELECT file, line_hash, section_hash, license, 'Files: ' || file || ':' || line_hash || chr(10) || line || chr(10) || 'License: ' || license || chr(10) AS block FROM used JOIN lined USING (section_hash)")
+def export_blocks_per_author(v: Views) -> DataFrame:
+    return provenance.copyright_blocks(v.records(), v.sections(), v.authors(), per_author=True)
+
+
+@_query("SELECT event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS op FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND strftime(ts, '%Y-%m-%dT%H:%M:%S') >= (SELECT strftime(min(ts), '%Y-%m-%d') || 'T12' FROM events)", prelude=False)
+def log_query(v: Views) -> DataFrame:
+    first = v.table("events").agg(F.min("event_type").alias("op"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("day")).first()
+    return provenance.query_log(v.log(), op=first["op"], since=first["day"] + "T12").select("seq", "ts", "op")
+
+
+@_query("SELECT CAST(vec_id // 3 AS VARCHAR) AS line_hash, max(vec_id) AS seq, arg_max(round(CAST(embedding[1] AS DOUBLE), 6), vec_id) AS first FROM embeddings GROUP BY 1", prelude=False)
+def embeddings_latest(v: Views) -> DataFrame:
+    latest = provenance.latest_embeddings(v.embeddings())
+    seqs = v.embeddings().groupBy("line_hash").agg(F.max("seq").alias("seq"))
+    return latest.join(seqs, "line_hash").select("line_hash", "seq", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@_query("SELECT string_agg(section_hash, ',' ORDER BY f, section_hash) AS sources FROM (SELECT section_hash, min(row_id) AS f FROM edges GROUP BY 1)")
+def chain_sources(v: Views) -> DataFrame:
+    # a document's two sources have different first places, except where its own section is the second one too
+    ordered = v.records().select(F.col("row_id").alias("seq"), F.array_sort(F.array_distinct("sources")).alias("sources"))
+    return provenance.chain_sources(ordered).select(F.concat_ws(",", "sources").alias("sources"))
+
+
+# ---------------------------------------------------------------- absorbing
+
+
+def _halves(v: Views, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    return df.where(f"{key} % 3 < 2"), df.where(f"{key} % 3 > 0")
+
+
+@_query("SELECT 'documents' AS layer, added, total - added AS skipped FROM (SELECT count(*) AS total, (SELECT count(*) FROM (SELECT DISTINCT line_hash, file FROM records WHERE row_id % 3 > 0 EXCEPT SELECT line_hash, file FROM records WHERE row_id % 3 < 2)) AS added FROM records WHERE row_id % 3 > 0)")
+def absorb_documents(v: Views) -> DataFrame:
+    return merge.absorb_counts(*_halves(v, v.records(), "row_id"), "documents")
+
+
+@_query("SELECT 'tokens' AS layer, added, total - added AS skipped FROM (SELECT count(*) AS total, (SELECT count(*) FROM (SELECT DISTINCT token_count, source_hash FROM tokens WHERE pos % 3 > 0 EXCEPT SELECT token_count, source_hash FROM tokens WHERE pos % 3 < 2)) AS added FROM tokens WHERE pos % 3 > 0)")
+def absorb_tokens(v: Views) -> DataFrame:
+    return merge.absorb_counts(*_halves(v, v.tokens(), "pos"), "tokens")
+
+
+@_query("SELECT id, name FROM authors")
+def absorb_authors(v: Views) -> DataFrame:
+    one, two = v.authors().where("name < 'src15'"), v.authors().where("name > 'src12'")
+    return merge.absorb(one, two, "authors").select("id", "name")
+
+
+@_query("SELECT section_hash, path FROM sections")
+def absorb_sections(v: Views) -> DataFrame:
+    one, two = v.sections().where("path < 'raw/src15'"), v.sections().where("path > 'raw/src12'")
+    return merge.absorb(one, two, "sections").select("section_hash", "path")
+
+
+# ---------------------------------------------------------------- reconcile and reconstruct
+
+_EDITED = """, edited AS (SELECT doc_id + 1 AS line_no, sha256(CAST(to_json({'text': CASE WHEN doc_id % 11 = 0 THEN text || ' edited' ELSE text END}) AS VARCHAR)) AS line_hash FROM documents WHERE doc_id % 7 <> 0),
+ firsts AS (SELECT *, row_number() OVER (PARTITION BY line_hash ORDER BY line_no) AS n FROM edited), known AS (SELECT DISTINCT line_hash FROM records WHERE NOT revoked),
+ states AS (SELECT line_no, coalesce(f.line_hash, k.line_hash) AS line_hash, CASE WHEN line_no IS NULL THEN 'orphan' WHEN n > 1 THEN 'duplicate' WHEN k.line_hash IS NOT NULL THEN 'matched' ELSE 'new' END AS status
+   FROM firsts f FULL JOIN known k ON f.line_hash = k.line_hash) """
+
+
+def _states(v: Views) -> DataFrame:
+    text = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    lines = v.table("documents").where("doc_id % 7 <> 0").select((F.col("doc_id") + 1).alias("line_no"), struct_hash(text=text).alias("line_hash"))
+    return reconcile.line_states(lines, v.records().where(~provenance.is_revoked()))
+
+
+@_query(_EDITED + "SELECT line_no, line_hash, status FROM states")
+def reconcile_status(v: Views) -> DataFrame:
+    return _states(v)
+
+
+@_query(_EDITED + "SELECT status, count(*) AS n FROM states GROUP BY 1")
+def reconcile_counts(v: Views) -> DataFrame:
+    return reconcile.state_counts(_states(v))
+
+
+@_query(_EDITED + "SELECT row_id, line_hash, file FROM records WHERE NOT revoked AND file = 'data/src1.jsonl' AND line_hash IN (SELECT line_hash FROM states WHERE status = 'orphan')")
+def orphan_records(v: Views) -> DataFrame:
+    return _flat(reconcile.tag_orphans(v.records(), _states(v), "data/src1.jsonl").where("orphan"))
+
+
+@_query(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
+      SELECT n.vec_id AS new_id, o.vec_id AS old_id, list_cosine_similarity(n.e, o.e) AS sim FROM v n JOIN v o ON n.vec_id % 2 = 1 AND o.vec_id % 2 = 0),
+    b AS (SELECT new_id, old_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(sim, 9) DESC, old_id) AS r FROM s) WHERE r = 1),
+    m AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY new_id) AS r FROM b WHERE sim >= 0.3)
+    SELECT new_id, old_id, round(sim, 6) AS similarity FROM m WHERE r = 1""",
+    prelude=False,
+)
+def reconcile_semantic(v: Views) -> DataFrame:
+    own = v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding"))
+    best = reconcile.nearest_old(own.where("id % 2 = 1"), own.where("id % 2 = 0"))
+    return reconcile.match_moved(best, 0.3).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query("SELECT a.vec_id AS a, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", prelude=False)
+def cosine_pairs(v: Views) -> DataFrame:
+    e = v.table("embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y"))
+    return a.join(b, "a").select("a", F.round(similarity.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+_CHARS = """WITH c AS (SELECT doc_id AS rec_id, text, list_sort(list_distinct(string_split(text, ''))) AS s FROM documents), src AS (SELECT item_id AS seq, text, list_sort(list_distinct(string_split(text, ''))) AS s FROM benchmark),
+ ks AS (SELECT DISTINCT s FROM c), sim AS (SELECT ks.s AS s, seq, CAST(len(list_intersect(ks.s, src.s)) AS DOUBLE) / (len(ks.s) + len(src.s) - len(list_intersect(ks.s, src.s))) AS j FROM ks CROSS JOIN src),
+ best AS (SELECT s, seq, j FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY j DESC, seq) AS r FROM sim WHERE j > 0.1) WHERE r = 1),
+ ex AS (SELECT text, max(item_id) AS seq FROM benchmark GROUP BY text),
+ matched AS (SELECT rec_id, coalesce(ex.seq, best.seq) AS source_seq, CASE WHEN ex.seq IS NOT NULL THEN 1.0 ELSE coalesce(j, 0.0) END AS confidence, ex.seq IS NOT NULL AS exact
+   FROM c LEFT JOIN ex ON c.text = ex.text LEFT JOIN best ON c.s = best.s) """
+
+
+def _matched(v: Views) -> DataFrame:
+    return reconstruct.match_records(v.table("documents").select(F.col("doc_id").alias("rec_id"), "text"), v.table("benchmark").select(F.col("item_id").alias("seq"), "text"))
+
+
+@_query(_CHARS + "SELECT rec_id, source_seq, round(confidence, 6) AS confidence, exact FROM matched", prelude=False)
+def jaccard_chars_match(v: Views) -> DataFrame:
+    return _matched(v).select("rec_id", "source_seq", F.round("confidence", 6).alias("confidence"), "exact")
+
+
+@_query(
+    _CHARS
+    + """, t AS (SELECT unnest([0.5, 0.7, 0.8, 0.9]) AS threshold), k AS (SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (round(confidence, 6) >= threshold AND ok) AS tp,
+      count(*) FILTER (round(confidence, 6) >= threshold AND NOT ok) AS fp, count(*) FILTER (round(confidence, 6) < threshold AND truth) AS fn
+      FROM (SELECT confidence, coalesce(source_seq % 2 = 0, false) AS ok, rec_id % 3 = 0 AS truth FROM matched) CROSS JOIN t GROUP BY 1),
+    pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS r FROM k)
+    SELECT threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr""",
+    prelude=False,
+)
+def threshold_sweep(v: Views) -> DataFrame:
+    scored = _matched(v).select(F.round("confidence", 6).alias("confidence"), F.coalesce(F.col("source_seq") % 2 == 0, F.lit(False)).alias("correct"), (F.col("rec_id") % 3 == 0).alias("has_truth"))
+    sweep = reconstruct.threshold_sweep(scored, [0.5, 0.7, 0.8, 0.9])
+    return sweep.select("threshold", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@_query(
+    """WITH l AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda x: len(trim(x)) > 0)) AS s FROM documents)
+    SELECT a.doc_id AS doc_id, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 6) AS jaccard
+    FROM l a JOIN l b ON b.doc_id = a.doc_id + 1""",
+    prelude=False,
+)
+def jaccard_lines(v: Views) -> DataFrame:
+    d = v.table("documents")
+    a, b = d.select("doc_id", F.col("text").alias("x")), d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y"))
+    return a.join(b, "doc_id").select("doc_id", F.round(similarity.line_jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+# ---------------------------------------------------------------- identity
+
+
+@_query("SELECT doc_id, sha256(text) AS line_hash FROM documents", prelude=False)
+def line_hash_text(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", line_hash_column(F.col("text")).alias("line_hash"))
+
+
+@_query("SELECT conv_id, turn, sha256(CAST(to_json({'role': role, 'text': text}) AS VARCHAR)) AS line_hash FROM conversations", prelude=False)
+def line_hash_objects(v: Views) -> DataFrame:
+    return v.table("conversations").select("conv_id", "turn", struct_hash(text=F.col("text"), role=F.col("role")).alias("line_hash"))
+
+
+@_query("SELECT section_hash, path, license FROM sections")
+def section_hashes(v: Views) -> DataFrame:
+    return v.sections().select("section_hash", "path", "license")
+
+
+@_query("SELECT page_id, url_encode(url) AS encoded, rtrim(translate(base64(encode(url)), '+/', '-_'), '=') AS file_name FROM pages", prelude=False)
+def url_names(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", url_encode_column(F.col("url")).alias("encoded"), safe_filename_column(F.col("url"), 10_000).alias("file_name"))
+
+
+# ---------------------------------------------------------------- procedural, rows only
+
+
+def _turns(v: Views) -> DataFrame:
+    c = v.table("conversations")
+    grown = F.concat_ws("\n", F.collect_list("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select(F.col("conv_id").alias("page"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), F.col("role").alias("contributor"), grown.alias("text"), F.lit(None).cast("string").alias("sha1"))
+
+
+@_query()
+def blame_revisions(v: Views) -> DataFrame:
+    return wiki.blame_revisions(_turns(v))
+
+
+@_query()
+def split_sections(v: Views) -> DataFrame:
+    whole = v.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("title"), F.array(F.struct(F.lit("2024-01-01").alias("timestamp"), F.lit("").alias("sha1"), F.col("source").alias("contributor"), F.lit(False).alias("anonymous"), F.concat("text", F.lit("\n== Part ==\n"), "text").alias("text"))).alias("revisions"))
+    return wiki.page_sections(whole, blame=True).select("page_title", "heading", "start_line", "end_line", F.length("text").alias("n_chars"), F.concat_ws(",", "authors").alias("authors"))
+
+
+@_query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[*#;:]+', '', 'g')) AS text FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '''{2,5}', '', 'g'), '\\{\\{.*?\\}\\}', '', 'g'), '<ref.*?</ref>', '', 'g'), '\\[\\[|\\]\\]', '', 'g'), '\\|--\\}|\\{\\||\\|-|\\|', '', 'g') AS html FROM pages)", prelude=False)
+def strip_markup(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", wiki.strip_markup_column(F.col("html")).alias("text"))
+
+
+@_query()
+def simulate_edits(v: Views) -> DataFrame:
+    return reconstruct.simulate_edits(v.table("benchmark").select(F.col("item_id").alias("rec_id"), "text"))
