@@ -9,10 +9,10 @@ Only connectivity is asked for, so that groups of copies are never written as pa
    only if none of the ``keys`` least shingles of the union is shared, each shared with probability 0.75 or more:
    1e-24 for 40 keys. Keys under which over ``hot`` representatives stand (a common line) are dropped for those sets
    whose other keys alone keep that chance under 1e-12, and kept for the rest.
-3. Shingles are hashed into ``groups`` groups; a set's group counts are its point. The points under a key form a packed
-   R-tree (leaves of 64 points with their coordinate maxima, fan-out 16). Pairs of nodes, then points, are cut by size
-   and by the bound |A & B| <= sum of the coordinate minima. What survives connects candidates; a key gives at most one
-   edge for each point.
+3. Shingles are hashed into groups, about one group for two to four shingles; a set's group counts are its point. The
+   points under a key form packed R-trees by size class (leaves of 64 points with their coordinate maxima, fan-out 16).
+   Pairs of nodes, then points, are cut by size and by the bound |A & B| <= sum of the coordinate minima. What survives
+   connects candidates; a key gives at most one edge for each point.
 4. Each connected set of candidates is verified with the exact shingle sets: from a document, the ones not yet reached
    are compared, so that a group of near copies costs about one comparison each. Sets with over ``group_tokens``
    shingles are cut into tiles, and every pair of tiles is verified by itself, in bounded memory.
@@ -70,12 +70,34 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 # ---------------------------------------------------------------- R-tree over points under one key
 
 
+def group_count(size_class: int) -> int:
+    """Groups for sets of 2**size_class shingles and more: two to four shingles fall into a group, so that the minima
+    of unrelated sets stay well under their sizes; 64 groups at least."""
+    return min(1 << 14, max(64, 1 << max(0, size_class - 1)))
+
+
+def count_vector(shingles: np.ndarray) -> bytes:
+    """A set's group counts as bytes; nothing if a count is over 255 (then sizes alone bound)."""
+    groups = group_count(int(len(shingles)).bit_length() - 1)
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def _folded(points: list[bytes], groups: int, size: np.ndarray) -> np.ndarray:
+    """Points over ``groups`` groups: finer ones are folded. A set without a point has its size in each group."""
+    out = np.empty((len(points), groups), np.uint32)
+    for i, p in enumerate(points):
+        out[i] = np.frombuffer(p, np.uint8).reshape(-1, groups).sum(0) if p else size[i]
+    return out
+
+
 def _bounded(points: np.ndarray, size: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether nodes i and j can hold a link: sizes (most, least of each node) and summed coordinate minima."""
     ok = (100 * size[i] >= percent * low[j]) & (100 * size[j] >= percent * low[i])
     at = np.flatnonzero(ok)
-    for a in range(0, len(at), 8192):
-        part = at[a : a + 8192]
+    step = max(1, (1 << 20) // points.shape[1])
+    for a in range(0, len(at), step):
+        part = at[a : a + step]
         over = np.minimum(points[i[part]], points[j[part]]).sum(1, dtype=np.int64)
         ok[part] = (100 + percent) * over >= percent * (low[i[part]] + low[j[part]])
     return ok
@@ -130,20 +152,47 @@ def _labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def _key_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges (id, id) for whole keys; rows sorted by key."""
-    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(cut, len(key)))
-    two = cut[count == 2]
-    if len(two):
-        ok = _bounded(points, size, size, two, two + 1, percent)
-        yield ids[two[ok]], ids[two[ok] + 1]
-    for a, n in zip(cut[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-        part = slice(a, a + n)
-        label = _labels(n, candidate_pairs(points[part], size[part], percent))
-        far = np.flatnonzero(label != np.arange(n))
-        if len(far):
-            yield ids[part][far], ids[part][label[far]]
+def _block_labels(size: np.ndarray, points: list[bytes], percent: int) -> np.ndarray:
+    """Connected candidates of one key. One tree for each size class, with those of the next class that are near enough
+    in size, over the class's groups; pairs within the next class are left to its own, finer tree."""
+    classes = np.frexp(size.astype(float))[1] - 1
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for c in np.unique(classes).tolist():
+            own = classes == c
+            rows = np.flatnonzero(own | ((classes == c + 1) & (percent * size <= 100 * size[own].max())))
+            if len(rows) > 1:
+                folded = _folded([points[i] for i in rows], group_count(c), size[rows])
+                for i, j in candidate_pairs(folded, size[rows], percent):
+                    keep = own[rows[i]] | own[rows[j]]
+                    yield rows[i[keep]], rows[j[keep]]
+
+    return _labels(len(size), pairs())
+
+
+def _key_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, points: list[bytes], percent: int, seen: set) -> Iterator[tuple[int, int]]:
+    """Edges (id, id) for whole keys; rows sorted by key. seen: pairs of two-row keys that are judged already."""
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
+    for a, b in zip(cut, cut[1:], strict=False):
+        if b - a < 2:
+            continue
+        if b - a == 2:
+            x, y = (a, a + 1) if ids[a] < ids[a + 1] else (a + 1, a)
+            pair = (int(ids[x]), int(ids[y]))
+            if pair in seen or 100 * size[x] < percent * size[y] or 100 * size[y] < percent * size[x]:
+                continue
+            seen.add(pair)
+            p, q = (np.frombuffer(points[i], np.uint8) for i in (x, y))
+            if len(p) and len(q):
+                groups = min(len(p), len(q))
+                over = int(np.minimum(p.reshape(-1, groups).sum(0), q.reshape(-1, groups).sum(0)).sum())
+                if (100 + percent) * over < percent * (size[x] + size[y]):
+                    continue
+            yield pair
+            continue
+        label = _block_labels(size[a:b], points[a:b], percent)
+        for i in np.flatnonzero(label != np.arange(b - a)).tolist():
+            yield int(ids[a + i]), int(ids[a + label[i]])
 
 
 # ---------------------------------------------------------------- exact verification
@@ -193,7 +242,7 @@ def _segments(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys: int = 40, groups: int = 64, hot: int = 1000, group_tokens: int = 4_000_000) -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys: int = 40, hot: int = 1000, group_tokens: int = 4_000_000) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs."""
     spark = docs.sparkSession
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -202,8 +251,6 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys:
         for batch in slices(batches, "text"):
             flat, begin = shingle_sets(batch.column("text"), width)
             n = np.diff(begin)
-            owner = np.repeat(np.arange(len(n)), n)
-            counts = np.bincount(owner * groups + (flat % np.uint64(groups)).astype(np.int64), minlength=len(n) * groups).reshape(-1, groups).astype("<u2" if not len(n) or n.max() < 65536 else "<u4")
             take = np.minimum(prefix(n, percent), keys)
             signed = flat.view(np.int64)
             cut = begin.tolist()
@@ -213,7 +260,7 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys:
                     pa.array(n, pa.int64()),
                     pa.array([hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
                     pa.array([signed[a : a + k] if m else [] for a, k, m in zip(cut, take.tolist(), n.tolist(), strict=False)], pa.list_(pa.int64())),
-                    pa.array([x.astype("<u4").tobytes() for x in counts], pa.binary()),
+                    pa.array([count_vector(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
                 ],
                 ["doc_id", "n", "digest", "keys", "point"],
             )
@@ -235,12 +282,13 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys:
     pointed = active.join(reps.select(F.col("doc_id").alias("id"), "n", "point"), "id")
 
     def join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for part in _segments(batches, "key"):
-            points = np.frombuffer(b"".join(part.column("point").to_pylist()), "<u4").reshape(-1, groups)
-            found = list(_key_edges(part.column("key").to_numpy(), part.column("id").to_numpy(), part.column("n").to_numpy(), points, percent))
+            found = set(_key_edges(part.column("key").to_numpy(), part.column("id").to_numpy(), part.column("n").to_numpy(), part.column("point").to_pylist(), percent, seen))
+            if len(seen) > 1_000_000:
+                seen.clear()
             if found:
-                pairs = np.unique(np.sort(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], 1), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = pointed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(join_keys, "a long, b long")
