@@ -36,13 +36,13 @@ NO_RANK = np.int32(2**31 - 1)
 class PieceCoder:
     """Encoder and decoder for one BPE model file."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = len(model)
         self.pieces = [model.id_to_piece(i) for i in range(n)]
-        self.kind = np.array([2 if model.is_byte(i) else 3 if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else 0 for i in range(n)])
+        self.kind = [2 if model.is_byte(i) else 3 if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else 0 for i in range(n)]
         score = np.array([model.get_score(i) for i in range(n)])
         self.unk = model.unk_id()
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(n) if self.kind[i] == 2}
@@ -85,7 +85,11 @@ class PieceCoder:
         self.is_alone[[x for x in self.alone if x < n]] = True
         self.n = n
         self.keep = keep
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.odd = {i for i in range(n) if self.kind[i]}
+        self.number = [str(i) for i in range(n)]
+        self.text_of = [p.replace(MARK, " ") for p in self.pieces]
+        #: word -> (ids, their decimal text, decoded text)
+        self.cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
         # direct table for pairs of common symbols would be large; hashed slots find most misses at once
         bits = 20
         self.slot_mask = np.int64((1 << bits) - 1)
@@ -184,27 +188,52 @@ class PieceCoder:
                 ids += [self.byte_id.get(b, self.unk) for b in self.extra[s - self.n].encode()]
         return tuple(ids)
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+    def _word(self, symbols: list[int]) -> tuple[tuple[int, ...], str, str]:
+        ids = self._ids(symbols)
+        return ids, ",".join([self.number[i] for i in ids]), self._spell(ids)
+
+    def encode_words(self, words: set[str]) -> dict[str, tuple[tuple[int, ...], str, str]]:
+        """What is known of each word; a word is given without its leading mark."""
         cache = self.cache
         if len(cache) > self.keep:
             cache.clear()
         new = [w for w in words if w not in cache]
         for a in range(0, len(new), 50_000):
             part = new[a : a + 50_000]
-            cache.update(zip(part, map(self._ids, self.merge(part)), strict=True))
+            cache.update(zip(part, map(self._word, self.merge([MARK + w for w in part])), strict=True))
         return cache
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        return _CUT.split(MARK + text.replace(" ", MARK)) if text else []
+        """Words of a text, each without its leading mark."""
+        if not text:
+            return []
+        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return [w[1:] for w in _CUT.split(MARK + text.replace(" ", MARK))]
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.cut(t or "") for t in texts]
         known = self.encode_words(set().union(*cut))
-        return [[i for w in words for i in known[w]] for words in cut]
+        return [[i for w in words for i in known[w][0]] for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: marks become spaces, the first one is dropped, runs of byte pieces are read as UTF-8."""
+    def digest(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text: number of ids, and the hashes of the ids in decimal and of the decoded text. A character lies
+        in one word, so that words can be decoded by themselves."""
+        cut = [self.cut(t or "") for t in texts]
+        known = self.encode_words(set().union(*cut))
+        out = []
+        for words in cut:
+            found = [known[w] for w in words]
+            ids = ",".join([f[1] for f in found])
+            decoded = "".join([f[2] for f in found]).removeprefix(" ")
+            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        return out
+
+    def _spell(self, ids: tuple[int, ...]) -> str:
+        """The text of ids, with the first mark as a space."""
+        if self.odd.isdisjoint(ids):
+            return "".join([self.text_of[i] for i in ids])
         parts: list[bytes] = []
         for i in ids:
             b = self.id_byte.get(i)
@@ -213,8 +242,12 @@ class PieceCoder:
             elif self.kind[i] == 3:
                 parts.append(" ⁇ ".encode() if i == self.unk else b"")
             else:
-                parts.append(self.pieces[i].replace(MARK, " ").encode())
-        return b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
+                parts.append(self.text_of[i].encode())
+        return b"".join(parts).decode("utf-8", "replace")
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: marks become spaces, the first one is dropped, runs of byte pieces are read as UTF-8."""
+        return self._spell(tuple(ids)).removeprefix(" ")
 
 
 _coders: dict[str, PieceCoder] = {}
@@ -232,20 +265,14 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        own_text = [p.replace(MARK, " ") for p in own.pieces]
-        byte_ids = set(own.id_byte)
-        number = [str(i) for i in range(own.n)]
         for batch in slices(batches, "text", 2 << 20):
-            ids = own.encode(batch.column("text").to_pylist())
-            if not digests:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(own.decode, ids)))], ["doc_id", "ids", "decoded"])
-                continue
-            coded, decoded = [], []
-            for x in ids:
-                coded.append(hashlib.sha256(",".join([number[i] for i in x]).encode()).hexdigest())
-                text = own.decode(x) if not byte_ids.isdisjoint(x) else "".join([own_text[i] for i in x]).removeprefix(" ")
-                decoded.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = batch.column("text").to_pylist()
+            if digests:
+                found = own.digest(texts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.string()), pa.array([x for _, _, x in found], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            else:
+                ids = own.encode(texts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(own.decode, ids)), pa.string())], ["doc_id", "ids", "decoded"])
 
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     return slim.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string")
