@@ -16,7 +16,6 @@ is ``und``. doc_id, lang and source never reach the network. Repeated rows are s
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +26,6 @@ from pyspark.sql import functions as F
 
 from strandlog.llm.common import one_thread, slices, table
 
-LETTER = re.compile(r"[^\W\d_]")
-
-
 def _soft(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
 
@@ -164,7 +160,7 @@ def train(samples: list[tuple[bytes, str]], hidden: int = 16, span: int = 64, st
 
 
 def predict(net: Network | None, texts: list[str | None], span: int = 64, rows: int = 2048) -> tuple[list[str], list[float]]:
-    known = [t if t and LETTER.search(t) else "" for t in texts]
+    known = [t if t and any(map(str.isalpha, t)) else "" for t in texts]
     total = np.zeros((len(texts), len(net.labels) if net else 1))
     if net and any(known):
         windows, owner, counted = cut_windows([t.encode() for t in known], span)
