@@ -15,7 +15,8 @@ Only connectivity is asked for, so that groups of copies are never written as pa
    connects candidates; a key gives at most one edge for each point.
 4. Each connected set of candidates is verified with the exact shingle sets: from a document, the ones not yet reached
    are compared, so that a group of near copies costs about one comparison each. Sets with over ``group_tokens``
-   shingles are cut into tiles, and every pair of tiles is verified by itself, in bounded memory.
+   shingles are cut into tiles, and every pair of tiles is verified by itself, in bounded memory. The candidates' texts
+   are read again for this; up to ``small`` candidates (ids and digests, some 60 bytes each) are broadcast to them.
 
 Defined results: documents without words (null, empty) have n_shingles 0 and their own doc_id as component; a text
 with fewer than five words is one shingle of them all. Rows are judged one by one; doc_id is taken as a key. Hashes
@@ -242,7 +243,7 @@ def _segments(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys: int = 40, hot: int = 1000, group_tokens: int = 4_000_000) -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys: int = 40, hot: int = 1000, group_tokens: int = 4_000_000, small: int = 300_000) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs."""
     spark = docs.sparkSession
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -320,9 +321,12 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys:
         label = verified_labels([np.frombuffer(x, np.uint64) for x in rows["tokens"]], percent)
         return pd.DataFrame({"a": ids, "b": ids[label]})
 
-    texts = slim.join(wanted.select(F.col("id").alias("doc_id"), "component", "digest"), "doc_id").select("component", F.col("doc_id").alias("id"), "digest", "text")
-    small = texts if not large else texts.where(~F.col("component").isin([c for c, _ in large]))
-    sets = small.mapInArrow(exact, "component long, id long, tokens binary")
+    named_ids = wanted.select(F.col("id").alias("doc_id"), "component", "digest")
+    # few candidates meet the texts where they lie; more of them by a shuffle of the texts
+    named_ids = F.broadcast(named_ids) if wanted.count() <= small else named_ids.hint("merge")
+    texts = slim.join(named_ids, "doc_id").select("component", F.col("doc_id").alias("id"), "digest", "text")
+    whole = texts if not large else texts.where(~F.col("component").isin([c for c, _ in large]))
+    sets = whole.mapInArrow(exact, "component long, id long, tokens binary")
     final = sets.repartition(parts, "component").sortWithinPartitions("component", "id").mapInArrow(verify_groups, "id long, label long")
     if large:
         cuts = spark.createDataFrame(large, "component long, tiles long")

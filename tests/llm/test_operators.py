@@ -313,7 +313,7 @@ def link_brute(rows):
     return {i: (len(s), label[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"group_tokens": 300}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"group_tokens": 300, "small": 0}])
 def test_similar(docs, empty, options):
     from strandlog.llm.similar import similar_components
 
