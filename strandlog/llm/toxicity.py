@@ -3,7 +3,9 @@
 Obfuscated words are restored, then words are scored. A word that may be obfuscated (digits or signs for letters, signs
 between letters, letters repeated three times or more, letters spaced out) becomes a lattice of characters: each sign
 stands for the letters it resembles or for nothing, a run of a letter for one or two of it. The Viterbi path through the
-lattice under a character trigram model is the restored word. Words of letters only are their own single path.
+lattice under a character trigram model is the restored word, at any length. Words of letters of which none is doubled are
+their own single path; words of letters with doubled ones are scored as restored and as spelled, the higher score counts.
+Tokens that can be fewer than two letters, and numbers (digits and the signs of numbers, no letter), are not restored.
 
 The character model is counted over all documents (words by task, then trigrams, summed by Spark). Words are scored by
 the log-odds of their document frequencies, of themselves and of their first 4 to 6 letters, in toxic and clean labelled
@@ -36,6 +38,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}[.,;:!?]*(?!\S)")
 EDGE = ".,;:!?\"'()[]{}<>…«»“”‘’-_"
 PLAIN = re.compile(r"(?:([^\W\d_])(?!\1\1))*")
+SINGLE = re.compile(r"(?:([^\W\d_])(?!\1))*")
+NUMBER = re.compile(r"[\d.,:;/()+\-*%$€£°#=<>|~^ ]*")
 LETTERS = re.compile(r"[^\W\d_]")
 RUNS = re.compile(r"(.)\1*", re.S)
 
@@ -57,6 +61,11 @@ def options(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def worded(token: str) -> bool:
+    """Whether a token can be a word: two letters or more in its lattice, and no number."""
+    return not NUMBER.fullmatch(token) and sum(min(len(m.group()), 2) if LETTERS.match(m.group(1)) else m.group(1) in LOOKS for m in RUNS.finditer(token)) >= 2
+
+
 class Restorer:
     """Restored words of tokens, by Viterbi paths under a character trigram model."""
 
@@ -68,24 +77,36 @@ class Restorer:
         self.pairs = dict(pairs)
         self.letters = max(2, len({g[2] for g in grams}))
         self.cache: dict[str, str] = {}
-
-    def cost(self, a: str, b: str, c: str) -> float:
-        return math.log((self.grams.get(a + b + c, 0) + 0.1) / (self.pairs.get(a + b, 0) + 0.1 * self.letters))
+        self.costs: dict[str, float] = {}
+
+    def cost(self, at: str, c: str) -> float:
+        gram = at + c
+        found = self.costs.get(gram)
+        if found is None:
+            if len(self.costs) > 400_000:
+                self.costs.clear()
+            found = self.costs[gram] = math.log((self.grams.get(gram, 0) + 0.1) / (self.pairs.get(at, 0) + 0.1 * self.letters))
+        return found
 
     def decode(self, token: str) -> str:
-        paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+        paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # the text as (text before, reading): time grows with the length only
         for reads in options(token):
-            ahead: dict[str, tuple[float, str]] = {}
+            ahead: dict[str, tuple[float, tuple | None]] = {}
             for state, (score, text) in paths.items():
                 for read, s in reads:
                     at, total = state, score + s
                     for c in read:
-                        total += self.cost(at[0], at[1], c)
+                        total += self.cost(at, c)
                         at = at[1] + c
                     if at not in ahead or total > ahead[at][0]:
-                        ahead[at] = (total, text + read)
+                        ahead[at] = (total, (text, read) if read else text)
             paths = ahead
-        return max((score + self.cost(at[0], at[1], "$"), text) for at, (score, text) in paths.items())[1]
+        text = max((score + self.cost(at, "$"), at, text) for at, (score, text) in paths.items())[2]
+        parts = []
+        while text:
+            text, read = text
+            parts.append(read)
+        return "".join(reversed(parts))
 
     def word(self, token: str) -> str:
         """The restored word of a lower-case token."""
@@ -93,26 +114,35 @@ class Restorer:
         if known is not None:
             return known
         core = token.strip(EDGE)
-        if PLAIN.fullmatch(core):
+        if SINGLE.fullmatch(core):
             return core
-        if len(core) <= 24 and len(LETTERS.findall(core)) >= 2:
+        if worded(core):
             core = self.decode(core)
         if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[token] = core
         return core
 
-    def words(self, text: str | None) -> set[str]:
-        """Distinct restored words of a text."""
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The restored word of a lower-case token and, if it is letters only, its own spelling ("off" need not be "of")."""
+        word, core = self.word(token), token.strip(EDGE)
+        return (word, core) if word != core and PLAIN.fullmatch(core) else (word,)
+
+    def found(self, text: str | None) -> set[tuple[str, ...]]:
+        """The readings of each distinct word of a text."""
         if not text:
             return set()
         low = text.lower()
-        found = set(map(self.word, set(low.split())))
+        found = set(map(self.readings, set(low.split())))
         for m in SPACED.finditer(low):
-            found.add(self.word(m.group().replace(" ", "").replace("\t", "").strip(EDGE)))
-        found.discard("")
+            found.add(self.readings(m.group().replace(" ", "").replace("\t", "").strip(EDGE)))
+        found.discard(("",))
         return found
 
+    def words(self, text: str | None) -> set[str]:
+        """Distinct words of a text, by all their readings."""
+        return {w for readings in self.found(text) for w in readings} - {""}
+
     def text(self, text: str | None) -> str:
         """A text with its words restored, for reading."""
         low = SPACED.sub(lambda m: m.group().replace(" ", "").replace("\t", ""), (text or "").lower())
@@ -190,20 +220,20 @@ class Scorer:
             for token in set(low.split()):
                 v = best.get(token)
                 if v is None:
-                    v = best[token] = max([value.get(f, 0.0) for f in features(self.restorer.word(token))])
+                    v = best[token] = max([value.get(f, 0.0) for w in self.restorer.readings(token) for f in features(w)])
                 if v > 0:
                     found.append(v)
             for m in SPACED.finditer(low):
-                w = self.restorer.word(m.group().replace(" ", "").replace("\t", "").strip(EDGE))
-                found.append(max([value.get(f, 0.0) for f in features(w)]))
+                token = m.group().replace(" ", "").replace("\t", "").strip(EDGE)
+                found.append(max([value.get(f, 0.0) for w in self.restorer.readings(token) for f in features(w)]))
         return self._top(found)
 
     def top_without(self, text: str | None, label: int) -> list[float]:
         """The same for a learned text, without its own part in the counts."""
         found = []
-        for w in self.restorer.words(text):
+        for readings in self.restorer.found(text):
             scores = [0.0]
-            for f in features(w):
+            for f in {f for w in readings for f in features(w)}:
                 a, b = self.seen.get(f, (0, 0))
                 a, b = (a - 1, b) if label else (a, b - 1)
                 if a >= 2:

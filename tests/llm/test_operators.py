@@ -125,6 +125,27 @@ def test_restoring_words():
     assert r.words(None) == set() and r.text("I D I O T the") == "idiot the"
 
 
+def test_restoring_any_length():
+    from collections import Counter
+
+    from strandlog.llm.toxicity import Restorer, Scorer
+
+    grams = Counter()
+    for w, n in (("idiot", 5), ("stupid", 5), ("the", 50), ("off", 5), ("of", 90), ("worthless", 4), ("worthlessness", 2)):
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += n
+    r = Restorer(dict(grams))
+    cases = [("wwwooorrrttthhhllleeessssss", "worthless"), ("stuuuuuuuuuuuuuuuuuuuupid", "stupid"), ("w.o.r.t.h.l.e.s.s.n.e.s.s", "worthlessness"), ("st" + "u" * 100_000 + "pid", "stupid")]
+    cases += [("1d107", "idiot"), ("1d10+", "idiot"), ("idiiot", "idiot"), ("1,000", "1,000"), ("10:30", "10:30"), ("$100", "$100"), ("***", "***")]
+    for a, b in cases:
+        assert r.word(a) == b, a
+    assert len(r.word("i.d.i.o.t-" * 5000)) <= 25_000
+    assert r.words("off") >= {"off"}
+    # a doubled letter neither hides a learned word nor takes a learned one away
+    scorer = Scorer(dict(grams), {"idiot$": (50, 0), "off$": (50, 0)}, 100, 100)
+    assert all(scorer.top(t)[0] > 2 and scorer.top_without(t, 1)[0] > 2 for t in ("the idiiot", "the 1d107", "the off"))
+
+
 def test_toxicity(spark, docs, empty):
     from strandlog.llm import toxicity
 
