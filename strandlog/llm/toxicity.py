@@ -7,6 +7,10 @@ lattice under a character trigram model is the restored word, at any length. Wor
 their own single path; words of letters with doubled ones are scored as restored and as spelled, the higher score counts.
 Tokens that can be fewer than two letters, and numbers (digits and the signs of numbers, no letter), are not restored.
 
+Three or more single characters parted by blanks of any kind and number are one lattice in which each gap is nothing or
+the end of a word. Its best paths at several prices of a word's end (0, less, more, and all joined) are its readings: the
+model alone may take a frequent one-letter word out of a longer word. The reading with the highest word scores counts.
+
 The character model is counted over all documents (words by task, then trigrams, summed by Spark). Words are scored by
 the log-odds of their document frequencies, of themselves and of their first 4 to 6 letters, in toxic and clean labelled
 documents; a logistic model of a document's three highest word scores, fitted on leave-one-out scores with weights of 0 or more, gives its score.
@@ -25,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,35 +40,49 @@ from strandlog.llm.common import materialize, slices, table
 
 #: What a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}[.,;:!?]*(?!\S)")
+SPACED = re.compile(r"(?<!\S)[\"'(\[{«“‘¿¡]*\S(?:\s+\S){2,}[.,;:!?\"')\]}»”’…]*(?!\S)")
+PRICES = (0.0, -4.0, -2.0, 2.0, 4.0, 8.0, math.inf)
 EDGE = ".,;:!?\"'()[]{}<>…«»“”‘’-_"
 PLAIN = re.compile(r"(?:([^\W\d_])(?!\1\1))*")
+ALPHA = re.compile(r"[^\W\d_]+")
+TWO = re.compile(r"[^\W\d_][\W\d_]*[^\W\d_]")
 SINGLE = re.compile(r"(?:([^\W\d_])(?!\1))*")
 NUMBER = re.compile(r"[\d.,:;/()+\-*%$€£°#=<>|~^ ]*")
 LETTERS = re.compile(r"[^\W\d_]")
 RUNS = re.compile(r"(.)\1*", re.S)
-
-
-def options(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a token: for each run of one character, its readings and their log costs."""
-    out = []
+DOUBLED = re.compile(r"(.)\1+", re.S)
+
+
+@lru_cache(100_000)
+def reads(c: str, k: int, inner: bool, spaced: bool) -> list[tuple[str, float]]:
+    """Readings of a run of k times a character (3: of 3 and more) and their log costs."""
+    if LETTERS.match(c):
+        out = [(c, 0.0)] if k == 1 else [(c * 2, 0.0), (c, -2.0)] if k == 2 else [(c, -1.0), (c * 2, -1.5)]
+        if spaced and k > 1:
+            out += [(f"{c} {c}", 0.0)] if k == 2 else [(f"{c} {c}", -1.5), (f"{c * 2} {c}", -1.5), (f"{c} {c * 2}", -1.5)]
+        return out
+    wild = c == "*"
+    out = [(x, -2.5 if wild else -0.7) for x in LOOKS.get(c, "")]
+    if k > 1:
+        out += [(x * 2, s - 0.3) for x, s in out if not wild]
+    return [*out, ("", -12.0 if c.isdigit() else -0.8 if not out or (wild and not inner) else -8.0 if inner else -4.0)]
+
+
+def options(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """The lattice of a token: for each run of one character, its readings and their log costs. spaced: the characters
+    stood apart, so a word may end (read as a blank) between any two of them."""
+    out, end = [], len(token)
     for m in RUNS.finditer(token):
-        c, k = m.group(1), len(m.group())
-        if LETTERS.match(c):
-            out.append([(c, 0.0)] if k == 1 else [(c * 2, 0.0), (c, -2.0)] if k == 2 else [(c, -1.0), (c * 2, -1.5)])
-            continue
-        wild = c == "*"
-        reads = [(x, -2.5 if wild else -0.7) for x in LOOKS.get(c, "")]
-        if k > 1:
-            reads += [(x * 2, s - 0.3) for x, s in reads if not wild]
-        inner = 0 < m.start() and m.end() < len(token)
-        out.append([*reads, ("", -12.0 if c.isdigit() else -0.8 if not reads or (wild and not inner) else -8.0 if inner else -4.0)])
+        i, j = m.span()
+        if spaced and i:
+            out.append([("", 0.0), (" ", 0.0)])
+        out.append(reads(token[i], min(j - i, 3), 0 < i and j < end, spaced))
     return out
 
 
 def worded(token: str) -> bool:
     """Whether a token can be a word: two letters or more in its lattice, and no number."""
-    return not NUMBER.fullmatch(token) and sum(min(len(m.group()), 2) if LETTERS.match(m.group(1)) else m.group(1) in LOOKS for m in RUNS.finditer(token)) >= 2
+    return bool(TWO.search(token)) or not NUMBER.fullmatch(token) and sum(min(len(m.group()), 2) if LETTERS.match(m.group(1)) else m.group(1) in LOOKS for m in RUNS.finditer(token)) >= 2
 
 
 class Restorer:
@@ -88,20 +107,26 @@ class Restorer:
             found = self.costs[gram] = math.log((self.grams.get(gram, 0) + 0.1) / (self.pairs.get(at, 0) + 0.1 * self.letters))
         return found
 
-    def decode(self, token: str) -> str:
+    def decode(self, lattice: list[list[tuple[str, float]]], price: float = 0.0) -> str:
+        """The best path. price: what the end of a word within the lattice costs besides the model's part."""
         paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # the text as (text before, reading): time grows with the length only
-        for reads in options(token):
+        for reads in lattice:
             ahead: dict[str, tuple[float, tuple | None]] = {}
             for state, (score, text) in paths.items():
                 for read, s in reads:
                     at, total = state, score + s
                     for c in read:
+                        if c == " ":
+                            if at != "^^":
+                                total += self.cost(at, "$") - price
+                            at = "^^"
+                            continue
                         total += self.cost(at, c)
                         at = at[1] + c
                     if at not in ahead or total > ahead[at][0]:
                         ahead[at] = (total, (text, read) if read else text)
             paths = ahead
-        text = max((score + self.cost(at, "$"), at, text) for at, (score, text) in paths.items())[2]
+        text = max((score + (self.cost(at, "$") if at != "^^" or not text else 0.0), at, text) for at, (score, text) in paths.items())[2]
         parts = []
         while text:
             text, read = text
@@ -117,35 +142,39 @@ class Restorer:
         if SINGLE.fullmatch(core):
             return core
         if worded(core):
-            core = self.decode(core)
+            core = self.decode(options(core))
         if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[token] = core
         return core
 
-    def readings(self, token: str) -> tuple[str, ...]:
+    def readings(self, token: str) -> tuple[tuple[str, ...], ...]:
         """The restored word of a lower-case token and, if it is letters only, its own spelling ("off" need not be "of")."""
         word, core = self.word(token), token.strip(EDGE)
-        return (word, core) if word != core and PLAIN.fullmatch(core) else (word,)
-
-    def found(self, text: str | None) -> set[tuple[str, ...]]:
-        """The readings of each distinct word of a text."""
+        return ((word,), (core,)) if word != core and PLAIN.fullmatch(core) else ((word,),)
+
+    def apart(self, run: str) -> tuple[tuple[str, ...], ...]:
+        """The readings of single characters parted by blanks, each the words of a path."""
+        core = "".join(run.split()).strip(EDGE)
+        if not worded(core):
+            return ((core,),)
+        lattice = options(core, True)
+        return tuple(dict.fromkeys(tuple(self.decode(lattice, price).split()) for price in PRICES))
+
+    def found(self, text: str | None) -> set[tuple[tuple[str, ...], ...]]:
+        """The readings of each distinct token of a text, and of its runs of single characters."""
         if not text:
             return set()
         low = text.lower()
-        found = set(map(self.readings, set(low.split())))
-        for m in SPACED.finditer(low):
-            found.add(self.readings(m.group().replace(" ", "").replace("\t", "").strip(EDGE)))
-        found.discard(("",))
-        return found
+        return set(map(self.readings, set(low.split()))) | {self.apart(m.group()) for m in SPACED.finditer(low)}
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words of a text, by all their readings."""
-        return {w for readings in self.found(text) for w in readings} - {""}
+        return {w for readings in self.found(text) for path in readings for w in path} - {""}
 
     def text(self, text: str | None) -> str:
         """A text with its words restored, for reading."""
-        low = SPACED.sub(lambda m: m.group().replace(" ", "").replace("\t", ""), (text or "").lower())
+        low = SPACED.sub(lambda m: " ".join(self.apart(m.group())[0]), (text or "").lower())
         return " ".join(filter(None, map(self.word, low.split())))
 
 
@@ -205,13 +234,42 @@ class Scorer:
         self.seen, self.toxic, self.clean, self.weights = seen, toxic, clean, weights
         self.value = {f: odds(a, b, toxic, clean) for f, (a, b) in seen.items() if a >= 2}
         self.best: dict[str, float] = {}
+        self.shapes = {DOUBLED.sub(r"\1", f) for f, v in self.value.items() if v > 0}
 
     def _top(self, values: list[float]) -> list[float]:
         three = sorted((v for v in values if v > 0), reverse=True)[:3] + [0.0] * 3
         return [min(v, 8.0) for v in three[:3]]
 
+    def _value(self, word: str) -> float:
+        """The highest value of a word's features."""
+        get, size = self.value.get, len(word)
+        v = get(word + "$", 0.0)
+        if size >= 4:
+            v = max(v, get(word[:4], 0.0))
+            if size >= 5:
+                v = max(v, get(word[:5], 0.0))
+                if size >= 6:
+                    v = max(v, get(word[:6], 0.0))
+        return max(v, 0.0)
+
+    def _best(self, readings: tuple[tuple[str, ...], ...]) -> list[float]:
+        """Values of the words of the reading that scores highest."""
+        return max(sorted(map(self._value, path), reverse=True) for path in readings)
+
+    def _token(self, token: str) -> float:
+        """Value of a token. Readings of letters differ in repeated letters only: without these, a feature is the start (or,
+        as a whole word, all) of the token, which spares decoding tokens without any."""
+        core = token.strip(EDGE)
+        if SINGLE.fullmatch(core):
+            return self._value(core)
+        if ALPHA.fullmatch(core):
+            shape, shapes = DOUBLED.sub(r"\1", core), self.shapes
+            if shape + "$" not in shapes and not any([shape[:k] in shapes for k in range(1, 7)]):
+                return 0.0
+        return self._best(self.restorer.readings(token))[0]
+
     def top(self, text: str | None) -> list[float]:
-        best, value = self.best, self.value
+        best = self.best
         if len(best) > 400_000:
             best.clear()
         found = []
@@ -220,25 +278,28 @@ class Scorer:
             for token in set(low.split()):
                 v = best.get(token)
                 if v is None:
-                    v = best[token] = max([value.get(f, 0.0) for w in self.restorer.readings(token) for f in features(w)])
+                    v = best[token] = self._token(token)
                 if v > 0:
                     found.append(v)
             for m in SPACED.finditer(low):
-                token = m.group().replace(" ", "").replace("\t", "").strip(EDGE)
-                found.append(max([value.get(f, 0.0) for w in self.restorer.readings(token) for f in features(w)]))
+                found += self._best(self.restorer.apart(m.group()))
         return self._top(found)
 
     def top_without(self, text: str | None, label: int) -> list[float]:
         """The same for a learned text, without its own part in the counts."""
         found = []
-        for readings in self.restorer.found(text):
+
+        def one(word: str) -> float:
             scores = [0.0]
-            for f in {f for w in readings for f in features(w)}:
+            for f in features(word):
                 a, b = self.seen.get(f, (0, 0))
                 a, b = (a - 1, b) if label else (a, b - 1)
                 if a >= 2:
                     scores.append(odds(a, max(b, 0), max(1, self.toxic - label), max(1, self.clean - 1 + label)))
-            found.append(max(scores))
+            return max(scores)
+
+        for readings in self.restorer.found(text):
+            found += max(sorted(map(one, path), reverse=True) for path in readings)
         return self._top(found)
 
     def score(self, text: str | None) -> float:

@@ -146,6 +146,26 @@ def test_restoring_any_length():
     assert all(scorer.top(t)[0] > 2 and scorer.top_without(t, 1)[0] > 2 for t in ("the idiiot", "the 1d107", "the off"))
 
 
+def test_restoring_spaced():
+    from collections import Counter
+
+    from strandlog.llm.toxicity import Restorer, Scorer
+
+    grams = Counter()
+    for w, n in (("idiot", 5), ("stupid", 5), ("the", 50), ("man", 20), ("a", 90), ("i", 90), ("you", 60), ("is", 40), ("less", 9), ("ass", 3), ("in", 50), ("do", 20)):
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += n
+    r = Restorer(dict(grams))
+    scorer = Scorer(dict(grams), {"idiot$": (50, 0), "stupid$": (50, 0), "ass$": (50, 0)}, 100, 100)
+    cases = ["a s t u p i d man", "y o u i d i o t", "y o u  1 d 1 0 t", "an a s s", "a  s  s", "i\nd\ni\no\nt", "the (i d i o t).", "y o u i s s t u p i d", "i i d i o o o t", "y o u . i . d . i . o . t"]
+    for t in cases:
+        assert r.words(t) & {"idiot", "stupid", "ass"}, t
+        assert scorer.top(t)[0] > 2 and scorer.top_without(t, 1)[0] > 2 and scorer.top(t)[1] == 0, t
+    assert r.words("1 2 3 4") == {"1", "2", "3", "4", "1234"} and r.words("- - -") == set() and scorer.top("a i a man 1 0 1 0")[0] == 0
+    assert r.text("y o u s t u p i d man") == "you stupid man"
+    assert "stupid" in r.words("a b " * 5000 + "s t u p i d")
+
+
 def test_toxicity(spark, docs, empty):
     from strandlog.llm import toxicity
 
