@@ -16,7 +16,8 @@ the log-odds of their document frequencies, of themselves and of their first 4 t
 documents; a logistic model of a document's three highest word scores, fitted on leave-one-out scores with weights of 0 or more, gives its score.
 
 Bounds: labels are learned from at most ``most_toxic`` + ``most_clean`` labelled rows (drawn by a hash of doc_id); at
-most ``most_features`` word features and ``most_grams`` trigrams are sent to the executors.
+most ``most_features`` word features are sent to the executors. The trigrams are sent whole: they grow with the distinct
+ones of the documents.
 
 Defined results: null and empty texts score as texts without any listed word (low). Without labelled rows of both
 kinds every score is 0. Texts are read whole; repeated rows are scored alike and kept. labels, lang, source and doc_id
@@ -183,7 +184,7 @@ def features(word: str) -> list[str]:
     return [word + "$", *[word[:k] for k in (4, 5, 6) if len(word) >= k]]
 
 
-def character_model(docs: DataFrame, most_grams: int = 200_000) -> dict[str, int]:
+def character_model(docs: DataFrame) -> dict[str, int]:
     """Trigram counts of the plain words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,8 @@ def character_model(docs: DataFrame, most_grams: int = 200_000) -> dict[str, int
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
     counted = docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.orderBy(F.col("n").desc(), "gram").limit(most_grams).collect()}
+    whole = counted.toArrow()
+    return dict(zip(whole.column("gram").to_pylist(), whole.column("n").to_pylist(), strict=True))
 
 
 def odds(a: float, b: float, toxic: int, clean: int, prior: float = 3.0) -> float:

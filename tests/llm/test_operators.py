@@ -166,6 +166,18 @@ def test_restoring_spaced():
     assert "stupid" in r.words("a b " * 5000 + "s t u p i d")
 
 
+def test_character_model_whole(spark):
+    from collections import Counter
+
+    from strandlog.llm.toxicity import character_model
+
+    draw = random.Random(8)
+    texts = [" ".join("".join(chr(draw.randrange(0x4E00, 0x9FA0)) for _ in range(3)) for _ in range(200)) for _ in range(400)]
+    want = Counter(f"^^{w}$"[i : i + 3] for t in texts for w in t.split() for i in range(4))
+    assert len(want) > 250_000
+    assert character_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) == dict(want)
+
+
 def test_toxicity(spark, docs, empty):
     from strandlog.llm import toxicity
 
