@@ -8,7 +8,8 @@ Only connectivity is asked for, so that groups of copies are never written as pa
    (n - ceil(0.75 n) + 1), but at most ``keys``. Up to that number no link can be missed; beyond it a link is missed
    only if none of the ``keys`` least shingles of the union is shared, each shared with probability 0.75 or more:
    1e-24 for 40 keys. Keys under which over ``hot`` representatives stand (a common line) are dropped for those sets
-   whose other keys alone keep that chance under 1e-12, and kept for the rest.
+   beyond the prefix bound whose other keys alone keep that chance under 1e-12 (an estimate from the share of such keys
+   among the set's), and kept for the rest; sets within the prefix bound lose no key.
 3. Shingles are hashed into groups, about one group for two to four shingles; a set's group counts are its point. The
    points under a key form packed R-trees by size class (leaves of 64 points with their coordinate maxima, fan-out 16).
    Pairs of nodes, then points, are cut by size and by the bound |A & B| <= sum of the coordinate minima. What survives
@@ -243,6 +244,17 @@ def _segments(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def kept_keys(active: DataFrame, percent: int, keys: int, hot: int) -> DataFrame:
+    """key and id of the shared keys that are used. active: key, id, n (shingles of the set), k (its keys), c (sets of the key)."""
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # as prefix()
+    lost = active.where((F.col("c") > hot) & (size > keys)).groupBy("id", "k").agg(F.count("*").alias("h"))
+    share = F.col("h") / F.col("k")
+    chance = F.pow(1 - F.greatest(F.lit(0.0), (percent / 100 - share) / F.greatest(1 - share, F.lit(1e-9))), F.col("k") - F.col("h"))
+    bound = lost.where(chance > 1e-12).select("id")
+    whole = active.where((F.col("c") <= hot) | (size <= keys)).select("key", "id")
+    return whole.unionByName(active.where((F.col("c") > hot) & (size > keys)).join(bound, "id", "left_semi").select("key", "id"))
+
+
 def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys: int = 40, hot: int = 1000, group_tokens: int = 4_000_000, small: int = 300_000) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs."""
     spark = docs.sparkSession
@@ -272,14 +284,9 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys:
     reps = materialize(signed.join(first, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]))
 
     # which keys are shared, and by how many
-    placed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.size("keys").alias("k"))
+    placed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.size("keys").alias("k"), "n")
     shared = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    active = placed.join(shared, "key")
-    lost = active.where(F.col("c") > hot).groupBy("id", "k").agg(F.count("*").alias("h"))
-    share = F.col("h") / F.col("k")
-    chance = F.pow(1 - F.greatest(F.lit(0.0), (percent / 100 - share) / F.greatest(1 - share, F.lit(1e-9))), F.col("k") - F.col("h"))
-    bound = lost.where(chance > 1e-12).select("id")
-    active = active.where(F.col("c") <= hot).select("key", "id").unionByName(active.where(F.col("c") > hot).join(bound, "id", "left_semi").select("key", "id"))
+    active = kept_keys(placed.join(shared, "key"), percent, keys, hot)
     pointed = active.join(reps.select(F.col("doc_id").alias("id"), "n", "point"), "id")
 
     def join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

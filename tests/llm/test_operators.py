@@ -366,6 +366,17 @@ def link_brute(rows):
     return {i: (len(s), label[i]) for i, s in sets.items()}
 
 
+def test_similar_exact_sets_keep_keys(spark):
+    from strandlog.llm.similar import kept_keys
+
+    # key 0 is hot; of the sets, 1 and 2 are within the prefix bound (k = 26 and exactly 40), 3 is beyond it
+    rows = [(0, i, n, k, 2000) for i, n, k in ((1, 100, 26), (2, 156, 40), (3, 900, 40))]
+    rows += [(i * 100 + j, i, n, k, 2) for i, n, k in ((1, 100, 26), (2, 156, 40), (3, 900, 40)) for j in range(1, k)]
+    active = spark.createDataFrame(rows, "key long, id long, n long, k int, c long")
+    got = kept_keys(active, percent=75, keys=40, hot=1000).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {1: 26, 2: 40, 3: 39}
+
+
 @pytest.mark.parametrize("options", [{}, {"hot": 1}, {"group_tokens": 300, "small": 0}])
 def test_similar(docs, empty, options):
     from strandlog.llm.similar import similar_components
