@@ -25,7 +25,8 @@ def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[Data
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Documents without letters (null and empty texts too) or of no clear language go."""
+    """Documents without letters (null and empty texts too) go, and those whose score is under ``least``. The score is
+    1/L at least for L learned languages, so this is no test for languages that were not learned."""
     own, back = _aside(docs, ["lang_pred", "score"])
     learned = docs.select("doc_id", "text", "lang").where(language.split_rest() != 2)
     marked = language.apply(own, language.fit(learned))
