@@ -45,7 +45,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -157,7 +157,7 @@ def gram_hashes(words: np.ndarray, m: int) -> np.ndarray:
     total = np.zeros(len(words), np.uint64)
     for t in range(m):
         factor = mix(np.array([t + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93))[0] | np.uint64(1)
-        total[: len(words) - t] += words[t:] * factor
+        total[: max(0, len(words) - t)] += words[t:] * factor
     return mix(total)
 
 
@@ -172,10 +172,10 @@ def room(words: Words) -> np.ndarray:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list (a, b: long): rows (id, component), component the smallest id.
 
-    Large-star and small-star rounds (Kiveris and others, 2014): every round is a shuffle by one end, so no task
-    holds a component; the edge list is written to the shared folder after each round. A vertex whose neighbours are
-    very many is handled by partial aggregates: only its smallest neighbour is needed, and joined back. Empty edges
-    give no rows.
+    Large-star and small-star rounds (Kiveris and others, 2014): every round is a shuffle by one end, and the edge list
+    is written to the shared folder after each. Of a vertex with very many neighbours only the smallest is needed (partial
+    aggregates), which is joined back to its edges: adaptive execution splits that join where one vertex has too many for
+    a task. Ids may be any longs. Empty edges give no rows.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
@@ -193,8 +193,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = materialize(small)
-        same = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
-        prior = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        mark = [F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(7), "u"))]
+        same, prior = after.agg(*mark).first(), now.agg(*mark).first()
         now = after
         if same == prior:
             break

@@ -7,7 +7,7 @@ from strandlog.llm.packing import op6_pack_bounded
 from strandlog.llm.pagetext import op8_pages_consensus
 from strandlog.llm.pieces import op7_sentencepiece
 from strandlog.llm.repetition import op4_repetition_suffix
-from strandlog.llm.similar import op9_similar_rtree
+from strandlog.llm.similar import OP9_SQL, op9_similar_rtree
 from strandlog.llm.toxicity import op3_toxicity_channel
 from strandlog.llm.topk import OP1_SQL, op1_topk_histogram
 from strandlog.llm.substrings import op2_substring_superkmer
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_histogram": OP1_SQL}
+    return {"op1_topk_histogram": OP1_SQL, "op9_similar_rtree": OP9_SQL}

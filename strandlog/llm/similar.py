@@ -1,27 +1,32 @@
 """Operator 9: similarity join on word shingles with a count-vector R-tree.
 
 A document is its set of hashed shingles (five lower-cased words). Two documents link when 100 * |A & B| >= 75 * |A | B|.
-Only connectivity is asked for, so that groups of copies are never written as pairs.
-
-1. Equal sets collapse into one representative (the smallest doc_id).
-2. Representatives meet under shared keys: the least shingle hashes of a set, as many as the prefix bound asks for
-   (n - ceil(0.75 n) + 1), but at most ``keys``. Up to that number no link can be missed; beyond it a link is missed
-   only if none of the ``keys`` least shingles of the union is shared, each shared with probability 0.75 or more:
-   1e-24 for 40 keys. Keys under which over ``hot`` representatives stand (a common line) are dropped for those sets
-   beyond the prefix bound whose other keys alone keep that chance under 1e-12 (an estimate from the share of such keys
-   among the set's), and kept for the rest; sets within the prefix bound lose no key.
+Only connectivity is asked for, so that groups of copies are never written as pairs. Every step but the last can only
+find too many candidates, so that no link is lost; the last one compares the sets themselves.
+
+1. Equal sets are one point; its id is the first half of the set's digest, so that copies meet without a join. A task
+   describes a set once.
+2. Points meet under shared keys: the first n - ceil(0.75 n) + 1 shingles of a set in one order of all shingles, all of
+   them at any n. Two linked sets always share one of these. In the order, shingles of a surveyed list of frequent ones
+   come last (at most ``heavy``), so that a common line is a key only of texts which are little else. Any order is exact:
+   the survey decides on speed alone.
 3. Shingles are hashed into groups, about one group for two to four shingles; a set's group counts are its point. The
    points under a key form packed R-trees by size class (leaves of 64 points with their coordinate maxima, fan-out 16).
    Pairs of nodes, then points, are cut by size and by the bound |A & B| <= sum of the coordinate minima. What survives
-   connects candidates; a key gives at most one edge for each point.
-4. Each connected set of candidates is verified with the exact shingle sets: from a document, the ones not yet reached
-   are compared, so that a group of near copies costs about one comparison each. Sets with over ``group_tokens``
-   shingles are cut into tiles, and every pair of tiles is verified by itself, in bounded memory. The candidates' texts
-   are read again for this; up to ``small`` candidates (ids and digests, some 60 bytes each) are broadcast to them.
+   connects candidates; a key gives at most one edge for each point. Keys with the same members are judged once.
+4. Keys of the frequent list, and others with over ``hot`` members, have no tree: their members of like size (classes
+   overlap, so that no possible pair is parted) are candidates of one another, by one edge to the smallest id each.
+5. Each connected set of candidates is verified with the exact shingle sets: from a document, the ones not yet reached
+   are compared, so that a group of near copies costs about one comparison each. Sets of candidates with over
+   ``group_tokens`` shingles are cut into tiles. Every tile is compared within itself and with ``roots`` members; what
+   hangs together by this is settled, and only members outside the largest class so found are compared with every tile.
+   So memory is bounded, and a huge group of near copies costs time in proportion to it. Candidates' texts are read again
+   for this; up to ``small`` candidates (ids and digests, some 60 bytes each) are broadcast to them.
 
 Defined results: documents without words (null, empty) have n_shingles 0 and their own doc_id as component; a text
-with fewer than five words is one shingle of them all. Rows are judged one by one; doc_id is taken as a key. Hashes
-have 64 bits, sets are compared by 128-bit digests. Columns other than doc_id and text are ignored.
+with fewer than five words is one shingle of them all. Rows are judged one by one; rows that repeat a doc_id with
+another text are documents of their own. Rows without doc_id get a null component and link with nothing. Hashes have
+64 bits, sets are compared by 128-bit digests. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +35,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.common import components, gram_hashes, materialize, mix, room, slices, split_words, table
@@ -74,8 +78,8 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 def group_count(size_class: int) -> int:
     """Groups for sets of 2**size_class shingles and more: two to four shingles fall into a group, so that the minima
-    of unrelated sets stay well under their sizes; 64 groups at least."""
-    return min(1 << 14, max(64, 1 << max(0, size_class - 1)))
+    of unrelated sets stay well under their sizes; 64 groups at least, 4,096 at most (then the bound is looser)."""
+    return min(1 << 12, max(64, 1 << max(0, size_class - 1)))
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
@@ -172,7 +176,7 @@ def _block_labels(size: np.ndarray, points: list[bytes], percent: int) -> np.nda
     return _labels(len(size), pairs())
 
 
-def _key_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, points: list[bytes], percent: int, seen: set) -> Iterator[tuple[int, int]]:
+def _key_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, points: pa.ChunkedArray, percent: int, seen: set) -> Iterator[tuple[int, int]]:
     """Edges (id, id) for whole keys; rows sorted by key. seen: pairs of two-row keys that are judged already."""
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
     for a, b in zip(cut, cut[1:], strict=False):
@@ -184,7 +188,7 @@ def _key_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, points: list[
             if pair in seen or 100 * size[x] < percent * size[y] or 100 * size[y] < percent * size[x]:
                 continue
             seen.add(pair)
-            p, q = (np.frombuffer(points[i], np.uint8) for i in (x, y))
+            p, q = (np.frombuffer(points[i].as_py(), np.uint8) for i in (x, y))
             if len(p) and len(q):
                 groups = min(len(p), len(q))
                 over = int(np.minimum(p.reshape(-1, groups).sum(0), q.reshape(-1, groups).sum(0)).sum())
@@ -192,7 +196,7 @@ def _key_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, points: list[
                     continue
             yield pair
             continue
-        label = _block_labels(size[a:b], points[a:b], percent)
+        label = _block_labels(size[a:b], points.slice(a, b - a).to_pylist(), percent)
         for i in np.flatnonzero(label != np.arange(b - a)).tolist():
             yield int(ids[a + i]), int(ids[a + label[i]])
 
@@ -200,29 +204,37 @@ def _key_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, points: list[
 # ---------------------------------------------------------------- exact verification
 
 
-def verified_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Connected components of the links among these sets: the smallest row of each."""
+def verified_labels(sets: list[np.ndarray], percent: int, step: int = 1 << 18) -> np.ndarray:
+    """Connected components of the links among these sets: the smallest row of each. Beside the sets, only ``step``
+    of their shingles (one set at least) are worked on at a time."""
     n = len(sets)
     label = np.full(n, -1)
     size = np.fromiter(map(len, sets), np.int64, n)
     left = np.arange(n)
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     while len(left):
         # the first of those left begins a component
-        root, left, flat = left[0], left[1:], flat[size[left[0]] :]
+        root, left = left[0], left[1:]
         label[root], front = root, [root]
         while front and len(left):
             x = sets[front.pop()]
-            ends = np.cumsum(size[left])
-            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-            hit = np.concatenate([[0], np.cumsum(x[at] == flat)])
-            both = hit[ends] - hit[ends - size[left]]
-            link = 100 * both >= percent * (len(x) + size[left] - both)
+            near = (100 * size[left] >= percent * len(x)) & (100 * len(x) >= percent * size[left])
+            some = left[near]
+            both = np.zeros(len(some), np.int64)
+            ends = np.cumsum(size[some])
+            a = 0
+            while a < len(some):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
+                flat = np.concatenate([sets[i] for i in some[a:b].tolist()])
+                at = np.searchsorted(x, flat)
+                at[at == len(x)] = 0
+                both[a:b] = np.add.reduceat((x[at] == flat).astype(np.int64), np.append(0, np.cumsum(size[some[a:b]])[:-1]))
+                a = b
+            link = 100 * both >= percent * (len(x) + size[some] - both)
             if link.any():
-                label[left[link]] = root
-                front += left[link].tolist()
-                flat = flat[np.repeat(~link, size[left])]
-                left = left[~link]
+                found = some[link]
+                label[found] = root
+                front += found.tolist()
+                left = left[label[left] < 0]
     return label
 
 
@@ -244,109 +256,248 @@ def _segments(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def kept_keys(active: DataFrame, percent: int, keys: int, hot: int) -> DataFrame:
-    """key and id of the shared keys that are used. active: key, id, n (shingles of the set), k (its keys), c (sets of the key)."""
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # as prefix()
-    lost = active.where((F.col("c") > hot) & (size > keys)).groupBy("id", "k").agg(F.count("*").alias("h"))
-    share = F.col("h") / F.col("k")
-    chance = F.pow(1 - F.greatest(F.lit(0.0), (percent / 100 - share) / F.greatest(1 - share, F.lit(1e-9))), F.col("k") - F.col("h"))
-    bound = lost.where(chance > 1e-12).select("id")
-    whole = active.where((F.col("c") <= hot) | (size <= keys)).select("key", "id")
-    return whole.unionByName(active.where((F.col("c") > hot) & (size > keys)).join(bound, "id", "left_semi").select("key", "id"))
-
-
-def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, keys: int = 40, hot: int = 1000, group_tokens: int = 4_000_000, small: int = 300_000) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of docs."""
+def frequent_shingles(texts: DataFrame, width: int, heavy: int, least: int) -> np.ndarray:
+    """At most ``heavy`` shingles with at least 1/heavy of all, and ``least`` texts each; sorted. A slice of texts
+    reports those with this share of its own, which every shingle with the share of the whole reaches in some slice."""
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        total = 0
+        for batch in slices(batches, "text", 1 << 20):
+            flat = np.sort(shingle_sets(batch.column("text"), width)[0])
+            total += len(flat)
+            begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(begin, len(flat)))
+            often = counts >= max(min(least, 8), len(flat) // heavy)
+            for h, n in zip(flat[begin[often]].view(np.int64).tolist(), counts[often].tolist(), strict=True):
+                seen[h] = seen.get(h, 0) + n
+            if len(seen) > 4 * heavy:  # what is far from the share goes
+                seen = {h: n for h, n in seen.items() if n >= total // (2 * heavy) + 1}
+        top = [(h, n) for h, n in seen.items() if n >= total // heavy]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *[h for h, _ in top]], pa.int64()), pa.array([total, *[n for _, n in top]], pa.int64())], ["h", "n"])
+
+    counted = texts.select("text").mapInArrow(survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("h").isNull() | (F.col("n") >= least)).orderBy(F.col("h").isNull().desc(), F.col("n").desc(), "h").limit(heavy + 1).collect()
+    total = next((r["n"] for r in found if r["h"] is None), 0) or 0
+    return np.sort(np.array([r["h"] for r in found if r["h"] is not None and r["n"] * heavy >= total], np.int64).view(np.uint64))
+
+
+def prefix_keys(flat: np.ndarray, begin: np.ndarray, wanted: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """The keys of each wanted set (flat: hashes sorted within sets that begin at ``begin``): ordinary and frequent ones."""
+    n = np.diff(begin)
+    doc = np.repeat(np.arange(len(n)), n)
+    often = np.zeros(len(flat), bool)
+    if len(frequent) and len(flat):
+        often = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
+        if often.any():
+            order = np.lexsort((flat, often, doc))
+            flat, often = flat[order], often[order]
+    kept = (np.arange(len(flat)) - begin[doc] < prefix(n, percent)[doc]) & wanted[doc]
+    lists = []
+    for which in (kept & ~often, kept & often):
+        sizes = np.bincount(doc[which], minlength=len(n)) if len(n) else n
+        lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat[which].view(np.int64))))
+    return lists[0], lists[1]
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """From (key, id) sorted by both: (g, id, wide) for keys with two distinct ids or more; g names the set of members, or
+    the key itself if there are over ``hot`` (wide)."""
+    seen: set[int] = set()
+    for part in _segments(batches, "key"):
+        key, ids = part.column("key").to_numpy(), part.column("id").to_numpy()
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+        key, ids = key[new], ids[new]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        shared = size > 1
+        begin, size = begin[shared], size[shared]
+        if not len(begin):
+            continue
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        total = np.append(np.uint64(0), np.cumsum(mix(ids[at].view(np.uint64))))
+        ends = np.cumsum(size)
+        name = mix(total[ends] - total[ends - size]).view(np.int64)
+        wide = size > hot
+        name = np.where(wide, key[begin], name)
+        fresh = np.array([w or g not in seen for g, w in zip(name.tolist(), wide.tolist(), strict=True)])
+        seen.update(name[~wide].tolist())
+        if len(seen) > 1_000_000:
+            seen.clear()
+        rows = np.repeat(fresh, size)
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows]), pa.array(ids[at][rows]), pa.array(np.repeat(wide, size)[rows])], ["g", "id", "wide"])
+
+
+def wide_edges(members: DataFrame, percent: int) -> DataFrame:
+    """members: (g, id, n). Edges (a, b) that connect the members of a key whose sizes may allow a link: a set stands in
+    two size classes of ratio 100 / percent, so that any two sets within that ratio share one. Minima are summed up before
+    the shuffle, and the join's large partitions can be split."""
+    place = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9)))
+    spread = members.distinct().select("g", "id", F.explode(F.array(place, place + 1)).alias("class"))
+    least = spread.groupBy("g", "class").agg(F.min("id").alias("b"))
+    return spread.join(least, ["g", "class"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
+def _comparisons(batches: Iterator[pa.RecordBatch], column: str, percent: int) -> Iterator[pa.RecordBatch]:
+    """From (column, id, tokens) sorted by column and id: (id, label), the smallest linked id within the group."""
+    for part in _segments(batches, column):
+        group, ids = part.column(column).to_numpy(), part.column("id").to_numpy()
+        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() + [len(group)]
+        label = np.empty(len(ids), np.int64)
+        for a, b in zip(cut, cut[1:], strict=False):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("tokens").slice(a, b - a)]
+            label[a:b] = ids[a + verified_labels(sets, percent)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], ["id", "label"])
+
+
+def verify_tiles(sets: DataFrame, tiles: DataFrame, percent: int, roots: int) -> DataFrame:
+    """Labels (id, label) within sets of candidates that are too large for one task. sets: (component, id, tokens);
+    tiles: (component, tiles)."""
+    spark = sets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = materialize(sets.join(tiles, "component").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles"))))
+
+    def compare(groups: DataFrame) -> DataFrame:
+        named = groups.select(F.xxhash64("component", "i", "t").alias("g"), "id", "tokens")
+        return named.repartition(parts, "g").sortWithinPartitions("g", "id").mapInArrow(lambda batches: _comparisons(batches, "g", percent), "id long, label long").where("id <> label")
+
+    none = F.lit(-1).cast("long").alias("i")
+    order = Window.partitionBy("component").orderBy(F.xxhash64("id", F.lit(1)), "id")
+    chosen = sets.select("component", "id", "tiles", F.row_number().over(order).alias("r")).where(F.col("r") <= roots).select("component", "id")
+    spread = sets.join(chosen, ["component", "id"], "left_semi").select("component", none, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t"), "id", "tokens")
+    own = sets.join(chosen, ["component", "id"], "left_anti").select("component", none, "t", "id", "tokens")
+    edges = materialize(compare(own.unionByName(spread)).select(F.col("id").alias("a"), F.col("label").alias("b")))
+    settled = components(edges)
+    known = sets.select("component", "id").join(settled.withColumnRenamed("component", "class"), "id", "left").select("component", "id", F.coalesce("class", "id").alias("class"))
+    main = known.groupBy("component", "class").count().groupBy("component").agg(F.max_by("class", F.struct("count", "class")).alias("class"))
+    rest = materialize(known.join(main, ["component", "class"], "left_anti").select("component", "id"))
+    if rest.isEmpty():
+        return settled.select("id", F.col("component").alias("label"))
+    # members outside the main class: in tiles of their own, each compared with every tile
+    left = sets.join(rest, ["component", "id"], "left_semi").withColumn("i", F.pmod(F.xxhash64("id", F.lit(2)), F.col("tiles")))
+    used = left.select("component", "i").distinct()
+    ahead = left.select("component", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t"), "id", "tokens")
+    met = sets.select("component", "t", "id", "tokens").join(used, "component").select("component", "i", "t", "id", "tokens")
+    again = compare(ahead.unionByName(met).dropDuplicates(["component", "i", "t", "id"]))
+    return components(edges.unionByName(again.select(F.col("id").alias("a"), F.col("label").alias("b")))).select("id", F.col("component").alias("label"))
+
+
+def labelled(docs: DataFrame, percent: int = 75, width: int = 5, hot: int = 1000, heavy: int = 1 << 16, group_tokens: int = 400_000, roots: int = 8, small: int = 300_000) -> DataFrame:
+    """Rows (doc_id, text_hash, digest, n_shingles, component_id), one for each row of docs; text_hash is xxhash64."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    frequent = frequent_shingles(slim, width, heavy, hot)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        told: set[bytes] = set()
+        for batch in slices(batches, "text", 1 << 20):
             flat, begin = shingle_sets(batch.column("text"), width)
-            n = np.diff(begin)
-            take = np.minimum(prefix(n, percent), keys)
-            signed = flat.view(np.int64)
-            cut = begin.tolist()
+            n, cut = np.diff(begin), begin.tolist()
+            digests = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cut, cut[1:], strict=False)]
+            keyed = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (n > 0)
+            for i, d in enumerate(digests):
+                if keyed[i]:
+                    keyed[i] = d not in told
+                    told.add(d)
+            if len(told) > 500_000:
+                told.clear()
+            keys, often = prefix_keys(flat, begin, keyed, percent, frequent)
+            points = [count_vector(flat[a:b]) if k else None for a, b, k in zip(cut, cut[1:], keyed.tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(n, pa.int64()),
-                    pa.array([hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
-                    pa.array([signed[a : a + k] if m else [] for a, k, m in zip(cut, take.tolist(), n.tolist(), strict=False)], pa.list_(pa.int64())),
-                    pa.array([count_vector(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64)),
+                    keys,
+                    often,
+                    pa.array(points, pa.binary()),
                 ],
-                ["doc_id", "n", "digest", "keys", "point"],
+                ["doc_id", "text_hash", "n", "digest", "id", "keys", "frequent", "point"],
             )
 
-    signed = materialize(slim.mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>, point binary"))
-    own = signed.select("doc_id", "n", "digest")
-    first = own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = materialize(signed.join(first, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]))
+    signed = materialize(slim.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, n long, digest binary, id long, keys array<long>, frequent array<long>, point binary"))
+    # keys shared by two points or more
+    placed = signed.select(F.explode("keys").alias("key"), "id").repartition(parts, "key").sortWithinPartitions("key", "id")
+    shared = materialize(placed.mapInArrow(lambda batches: shared_keys(batches, hot), "g long, id long, wide boolean"))
+    points = signed.where("point is not null").select("id", "n", "point").dropDuplicates(["id"])
 
-    # which keys are shared, and by how many
-    placed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.size("keys").alias("k"), "n")
-    shared = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    active = kept_keys(placed.join(shared, "key"), percent, keys, hot)
-    pointed = active.join(reps.select(F.col("doc_id").alias("id"), "n", "point"), "id")
-
-    def join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for part in _segments(batches, "key"):
-            found = set(_key_edges(part.column("key").to_numpy(), part.column("id").to_numpy(), part.column("n").to_numpy(), part.column("point").to_pylist(), percent, seen))
+        for part in _segments(batches, "g"):
+            found = set(_key_edges(part.column("g").to_numpy(), part.column("id").to_numpy(), part.column("n").to_numpy(), part.column("point"), percent, seen))
             if len(seen) > 1_000_000:
                 seen.clear()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = pointed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(join_keys, "a long, b long")
-    candidates = components(edges)
+    pointed = shared.where("not wide").select("g", "id").distinct().join(points, "id").select("g", "id", "n", "point")
+    edges = pointed.repartition(parts, "g").sortWithinPartitions("g", "id").mapInArrow(join_points, "a long, b long")
+    often = signed.select(F.explode("frequent").alias("g"), "id", "n")
+    wide = shared.where("wide").select("g", "id").join(points.select("id", "n"), "id").select("g", "id", "n")
+    candidates = components(edges.unionByName(wide_edges(often.unionByName(wide), percent)))
 
     # exact sets of the candidates, each once
-    wanted = materialize(candidates.join(reps.select(F.col("doc_id").alias("id"), "n", "digest"), "id"))
-    large = [(r["component"], 1 + r["n"] // (group_tokens // 2)) for r in wanted.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > group_tokens).collect()]
+    first = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("id").alias("id"), F.first("n").alias("n"))
+    first = materialize(first.join(candidates, "id", "left"))
+    wanted = first.where("component is not null")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             flat, begin = shingle_sets(batch.column("text"), width)
             cut = begin.tolist()
             sets = [flat[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             right = pa.array([hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(sets, pa.binary())], ["component", "id", "tokens"]).filter(right)
 
-    def verify_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _segments(batches, "component"):
-            key, ids = part.column("component").to_numpy(), part.column("id").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in part.column("tokens").to_pylist()]
-            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
-            label = np.concatenate([a + verified_labels(sets[a:b], percent) for a, b in zip(cut, cut[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "label"])
-
-    def verify_tiles(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id")
-        ids = rows["id"].to_numpy()
-        label = verified_labels([np.frombuffer(x, np.uint64) for x in rows["tokens"]], percent)
-        return pd.DataFrame({"a": ids, "b": ids[label]})
-
-    named_ids = wanted.select(F.col("id").alias("doc_id"), "component", "digest")
+    sizes = materialize(wanted.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > group_tokens).select("component", (1 + F.floor(2 * F.col("n") / group_tokens)).cast("long").alias("tiles")))
+    named = wanted.select(F.col("rep").alias("doc_id"), "component", "digest")
     # few candidates meet the texts where they lie; more of them by a shuffle of the texts
-    named_ids = F.broadcast(named_ids) if wanted.count() <= small else named_ids.hint("merge")
-    texts = slim.join(named_ids, "doc_id").select("component", F.col("doc_id").alias("id"), "digest", "text")
-    whole = texts if not large else texts.where(~F.col("component").isin([c for c, _ in large]))
-    sets = whole.mapInArrow(exact, "component long, id long, tokens binary")
-    final = sets.repartition(parts, "component").sortWithinPartitions("component", "id").mapInArrow(verify_groups, "id long, label long")
-    if large:
-        cuts = spark.createDataFrame(large, "component long, tiles long")
-        tiled = texts.mapInArrow(exact, "component long, id long, tokens binary").join(cuts, "component")
-        tiled = tiled.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        links = tiled.withColumn("i", F.least("t", "u")).withColumn("j", F.greatest("t", "u")).groupBy("component", "i", "j").applyInPandas(verify_tiles, "a long, b long")
-        final = final.unionByName(components(links).select("id", F.col("component").alias("label")))
-    final = final.where("id <> label")
-
-    named = first.withColumnRenamed("doc_id", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("digest", F.coalesce("label", "rep").alias("component_id"))
-    return own.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = F.broadcast(named) if wanted.count() <= small else named.hint("merge")
+    texts = slim.join(named, "doc_id").select("component", F.col("doc_id").alias("id"), "digest", "text")
+    kind = "component long, id long, tokens binary"
+    usual = texts.join(sizes, "component", "left_anti").mapInArrow(exact, kind)
+    final = usual.repartition(parts, "component").sortWithinPartitions("component", "id").mapInArrow(lambda batches: _comparisons(batches, "component", percent), "id long, label long")
+    if not sizes.isEmpty():
+        large = texts.join(sizes, "component", "left_semi").mapInArrow(exact, kind).dropDuplicates(["component", "id"])
+        final = final.unionByName(verify_tiles(large, sizes, percent, roots))
+    final = final.where("id <> label").distinct()
+
+    classes = first.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
+    own = signed.select("doc_id", "text_hash", "digest", F.col("n").alias("n_shingles"))
+    linked = own.where("n_shingles > 0 and doc_id is not null").join(classes, "digest").select(*own.columns, "component_id")
+    return linked.unionByName(own.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")))
+
+
+def similar_components(docs: DataFrame, **options) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of docs."""
+    return labelled(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_similar_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
+
+
+#: Words, shingles as joined words, all pairs of distinct sets that share one, and the closure of their links.
+OP9_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), k AS MATERIALIZED (
+  SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
+), t AS MATERIALIZED (
+  SELECT rep, n, unnest(s) AS g FROM k
+), c AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS o FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n GROUP BY ALL
+), e AS MATERIALIZED (
+  SELECT a, b FROM c WHERE 100 * o >= 75 * (na + nb - o) UNION ALL SELECT b, a FROM c WHERE 100 * o >= 75 * (na + nb - o)
+), r AS (
+  SELECT rep AS x, rep AS y FROM k UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a
+), m AS (SELECT x, min(y) AS component FROM r GROUP BY x)
+SELECT s.doc_id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id
+FROM s LEFT JOIN k ON s.s = k.s LEFT JOIN m ON k.rep = m.x
+"""

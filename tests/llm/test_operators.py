@@ -366,18 +366,22 @@ def link_brute(rows):
     return {i: (len(s), label[i]) for i, s in sets.items()}
 
 
-def test_similar_exact_sets_keep_keys(spark):
-    from strandlog.llm.similar import kept_keys
-
-    # key 0 is hot; of the sets, 1 and 2 are within the prefix bound (k = 26 and exactly 40), 3 is beyond it
-    rows = [(0, i, n, k, 2000) for i, n, k in ((1, 100, 26), (2, 156, 40), (3, 900, 40))]
-    rows += [(i * 100 + j, i, n, k, 2) for i, n, k in ((1, 100, 26), (2, 156, 40), (3, 900, 40)) for j in range(1, k)]
-    active = spark.createDataFrame(rows, "key long, id long, n long, k int, c long")
-    got = kept_keys(active, percent=75, keys=40, hot=1000).groupBy("id").count().collect()
-    assert {r["id"]: r["count"] for r in got} == {1: 26, 2: 40, 3: 39}
-
-
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"group_tokens": 300, "small": 0}])
+def test_similar_keys_whole():
+    """Every set keeps all keys of the prefix bound, whatever its size and however frequent its shingles are."""
+    from strandlog.llm.similar import prefix_keys
+
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 4, 100, 156, 2000)]
+    begin = np.append(0, np.cumsum([len(x) for x in sets]))
+    for frequent in (np.zeros(0, np.uint64), sets[2], np.sort(np.concatenate([sets[2], sets[4][:1900]]))):
+        usual, often = prefix_keys(np.concatenate(sets), begin, np.ones(5, bool), 75, frequent)
+        sizes = [len(a) + len(b) for a, b in zip(usual.to_pylist(), often.to_pylist())]
+        assert sizes == [1, 2, 26, 40, 501]
+        assert set(np.array(sum(often.to_pylist(), []), np.int64).view(np.uint64)) <= set(frequent)
+        assert len(often[2]) == (26 if len(frequent) else 0) and len(often[4]) == (401 if len(frequent) > 100 else 0)
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"group_tokens": 300, "small": 0}, {"hot": 1, "group_tokens": 300, "roots": 1}, {"hot": 3, "heavy": 8}])
 def test_similar(docs, empty, options):
     from strandlog.llm.similar import similar_components
 
