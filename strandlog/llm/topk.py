@@ -1,15 +1,16 @@
 """Operator 1: exact top-k search by distributed histogram selection.
 
 Vectors are whole numbers (floor(1024 * x)), a score is their inner product. The vectors lie in packed chunks, the
-queries in packed blocks; every chunk meets every block once in a pass (a chunk is copied once for each block of
-queries, never once for each query). A pass scores everything again and keeps no scores: it counts, for each query, how
+queries in packed blocks; every chunk meets every block once in a pass. The blocks, with the state of their queries, are
+broadcast to the chunks where they lie as long as they are under ``small`` bytes; beyond that chunks and blocks meet by
+a shuffle (a chunk is copied once for each block of queries, never once for each query). A pass scores everything again and keeps no scores: it counts, for each query, how
 many fall into each of ``bins`` equal parts of the interval that must hold the k-th best. Spark sums the counts, the
 interval becomes the part that holds the k-th, and after a few passes it is one value: the exact k-th score. A last pass
 emits what is above it (fewer than k rows for a query) and of the scores equal to it the smallest vec_ids that a chunk
 can contribute; ranking these breaks ties by vec_id.
 
 Defined results: vectors that are null or empty or hold a null, NaN or infinite component take no part, nor do rows
-without vec_id. Vectors of different lengths are compared over their common components. Rows that repeat vec_id and
+without vec_id, nor vectors with a whole number over 2**30 / sqrt(length), whose scores might not fit 64 bits. Vectors of different lengths are compared over their common components. Rows that repeat vec_id and
 vector count once; if one vec_id has several vectors, each is a candidate and the smallest is the query. Fewer than k
 candidates: all are returned. Other columns are ignored.
 """
@@ -27,12 +28,15 @@ from strandlog.llm.common import materialize, table
 
 #: Sums of products below this are exact in float64.
 EXACT = 1 << 53
+#: The largest whole number of a vector of one component; scores and intervals stay within 2**61.
+REACH = 1 << 30
 
 
 def whole_numbers(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """Rows (vec_id, v array<long>) of the vectors that take part."""
     x = F.transform(F.col(vector_column), lambda c: c.cast("double"))
-    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    most = F.lit(float(REACH)) / F.sqrt(F.size(x).cast("double"))
+    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) <= most - 1))
     v = F.when((F.size(x) > 0) & usable, F.transform(x, lambda c: F.floor(c * scale)))
     return vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
 
@@ -60,7 +64,7 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int64)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bins: int = 256, chunk_rows: int = 4096, block_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bins: int = 256, chunk_rows: int = 4096, block_rows: int = 512, small: int = 32 << 20) -> DataFrame:
     """vectors: (vec_id, v). Rows (query_id, rank, vec_id, score)."""
     rows = materialize(vectors.withColumn("is_query", is_query))
     n, queries, wide, most = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
@@ -70,7 +74,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bins: int = 256, ch
         return spark.createDataFrame([], schema)
     chunks, blocks = 8 + n // chunk_rows, 1 + queries // block_rows
     exact = wide * most * most < EXACT
-    reach = int(wide * most * most) + 1
+    reach = min(int(wide * most * most), REACH * REACH) + 1
     part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count))
     packed = materialize(rows.withColumn("chunk", part(chunks)).groupBy("chunk").applyInArrow(_pack(wide, "chunk"), "chunk long, ids binary, matrix binary"))
     block = materialize(rows.where("is_query").withColumn("block", part(blocks)).groupBy("block").applyInArrow(_pack(wide, "block"), "block long, ids binary, matrix binary"))
@@ -115,11 +119,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bins: int = 256, ch
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(now: DataFrame) -> DataFrame:
+        if queries * (wide + 3) * 8 <= small:
+            return dealt.join(F.broadcast(now), "block")
         return dealt.join(now, "block").repartition(parts, "chunk", "block")
 
     while True:
         now = state.withColumn("step", F.lit(step).cast("long")).withColumn("span", F.lit(span).cast("long"))
-        counted = meet(now).mapInArrow(count, "block long, query_id long, bin long, n long").groupBy("block", "query_id", "bin").agg(F.sum("n").alias("n"))
+        counted = materialize(meet(now).mapInArrow(count, "block long, query_id long, bin long, n long").groupBy("block", "query_id", "bin").agg(F.sum("n").alias("n")), 1)
         upward = Window.partitionBy("block", "query_id").orderBy(F.col("bin").desc())
         running = counted.withColumn("from_top", F.sum("n").over(upward)).groupBy("block", "query_id").agg(F.array_sort(F.collect_list(F.struct("from_top", "bin", "n"))).alias("h"))
         by_block = running.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "h"))).alias("found"))
@@ -142,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bins: int = 256, ch
         if step == 1:
             break
         span, step = step, -(-step // bins)
-    best = meet(state).mapInArrow(select, "query_id long, vec_id long, score long")
+    best = materialize(meet(state).mapInArrow(select, "query_id long, vec_id long, score long"), 1)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
