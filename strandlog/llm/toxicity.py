@@ -15,13 +15,12 @@ The character model is counted over all documents (words by task, then trigrams,
 the log-odds of their document frequencies, of themselves and of their first 4 to 6 letters, in toxic and clean labelled
 documents; a logistic model of a document's three highest word scores, fitted on leave-one-out scores with weights of 0 or more, gives its score.
 
-Bounds: labels are learned from at most ``most_toxic`` + ``most_clean`` labelled rows (drawn by a hash of doc_id); at
-most ``most_features`` word features are sent to the executors. The trigrams are sent whole: they grow with the distinct
-ones of the documents.
+Bounds: labels are learned from at most ``most_toxic`` + ``most_clean`` labelled rows (drawn by a hash of doc_id). What
+these rows teach is sent whole, as are the trigrams, which grow with the distinct ones of the documents.
 
 Defined results: null and empty texts score as texts without any listed word (low). Without labelled rows of both
-kinds every score is 0. Texts are read whole; repeated rows are scored alike and kept. labels, lang, source and doc_id
-never enter a score.
+kinds every score is 0. Texts are read whole; repeated rows are scored alike and kept. Rows without doc_id are scored,
+never learned from, and are not held out. labels, lang, source and doc_id never enter a score.
 """
 
 from __future__ import annotations
@@ -332,7 +331,7 @@ def learnable() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_clean: int = 10_000, most_features: int = 400_000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_clean: int = 10_000) -> Scorer:
     """docs: all documents (doc_id, text); labels: doc_id, toxic."""
     spark = docs.sparkSession
     grams = character_model(docs)
@@ -360,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_clean:
 
     ratio = (F.col("a") + 0.5) * (clean + 1) / ((F.col("b") + 0.5) * (toxic + 1))
     counted = train.mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where((F.col("a") >= 2) & (ratio > 1.5))
-    seen = {r["f"]: (r["a"], r["b"]) for r in counted.orderBy(ratio.desc(), "f").limit(most_features).collect()}
+    seen = {r["f"]: (r["a"], r["b"]) for r in counted.collect()}
     known = spark.sparkContext.broadcast(seen)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,4 +392,4 @@ def apply(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
 def op3_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scorer = fit(docs, table(spark, sf_dir, "labels"))
-    return apply(docs, scorer).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
+    return apply(docs, scorer).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
