@@ -7,11 +7,13 @@ last window reaches back to be full, and its positions count once. Gates use x /
 function and tanh, which is as good here and several times faster.
 
 It is fitted on a bounded sample: at most ``per_language`` documents of each language among the rows allowed for
-learning (a documented parameter); it is applied to every row. The sample is drawn by a hash of doc_id, so that a
-source with a third of the rows has no more than its share.
+learning, and of each one piece of at most ``sample_chars`` characters at a place drawn by its hash (documented
+parameters, which bound what reaches the driver); it is applied to every row, whole. The sample is drawn by a hash of
+doc_id and text, so that a source with a third of the rows has no more than its share.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. With nothing to learn from, every row
-is ``und``. doc_id, lang and source never reach the network. Repeated rows are scored alike and kept.
+is ``und``. doc_id, lang and source never reach the network. Repeated rows are scored alike and kept. Rows without
+doc_id are predicted, never learned from, and are not held out.
 """
 
 from __future__ import annotations
@@ -178,9 +180,12 @@ def predict(net: Network | None, texts: list[str | None], span: int = 64, rows:
     )
 
 
-def fit(docs: DataFrame, per_language: int = 400) -> Network | None:
-    """docs: the rows to learn from (doc_id, text, lang). At most per_language texts of each language reach the driver."""
-    usable = docs.where("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
+def fit(docs: DataFrame, per_language: int = 400, sample_chars: int = 16_384) -> Network | None:
+    """docs: the rows to learn from (doc_id, text, lang). At most per_language pieces of texts of each language reach the
+    driver."""
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int")
+    piece = F.substring(F.col("text"), start + 1, F.lit(sample_chars))
+    usable = docs.where("lang is not null and text is not null").select("lang", piece.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), F.xxhash64("text").alias("tie"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return None
@@ -188,7 +193,7 @@ def fit(docs: DataFrame, per_language: int = 400) -> Network | None:
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * per_language / n) * (1 << 30)))).otherwise(share)
     found: dict[str, list] = {}
-    for r in usable.where(F.col("draw") < share).orderBy("draw").limit(2 * per_language * len(counts)).collect():
+    for r in usable.where(F.col("draw") < share).orderBy("draw", "tie", "lang").limit(2 * per_language * len(counts)).collect():
         found.setdefault(r["lang"], []).append(r["text"].encode())
     samples = [(x, lang) for lang, xs in found.items() for x in xs[:per_language] if x]
     if not samples:
@@ -218,4 +223,4 @@ def split_rest(column: str = "doc_id") -> Column:
 def op10_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     net = fit(docs.where(split_rest() != 2))
-    return apply(docs.select("doc_id", "text"), net).select("doc_id", (split_rest() == 2).alias("held_out"), "lang_pred", "score")
+    return apply(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce(split_rest() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
