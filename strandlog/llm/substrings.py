@@ -14,7 +14,8 @@ around a common line are dealt by their other words.
 
 Defined results: null and empty texts have no words. Rows that bear the same doc_id and text are one document (each
 row is returned); rows that bear the same doc_id but another text stand at the same place, so that neither is earlier
-than the other at equal starts. Texts with fewer words than a window keep them all. Other columns stay as they are.
+than the other at equal starts. Texts with fewer words than a window keep them all, as do rows without doc_id. Other
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -234,6 +235,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, **options) -> DataFrame:
     """docs with text replaced by its kept words joined by one space (untouched where no word goes), and columns
     n_words, n_removed. Needs doc_id and text; columns named n_words or n_removed are replaced."""
     kept = docs.drop("n_words", "n_removed")
+    inner = {*KEYS, "spans"}
+    aside = {c: f"__own_{i}" for i, c in enumerate(kept.columns) if c.lower() in inner}
+    kept = kept.withColumnsRenamed(aside)
     marked = kept.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
     spans = repeated_spans(marked.select(*KEYS, "text").where("__id is not null"), window, **options)
 
@@ -259,7 +263,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_words", "n_removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return marked.join(spans, KEYS, "left").mapInArrow(cut, f"{schema}, n_words long, n_removed long")
+    return marked.join(spans, KEYS, "left").mapInArrow(cut, f"{schema}, n_words long, n_removed long").withColumnsRenamed({b: a for a, b in aside.items()})
 
 
 def op2_substring_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
