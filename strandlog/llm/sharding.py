@@ -4,9 +4,11 @@ Rows are sorted by (hash of the text, doc_id), so that equal texts lie together
 The splitters are found without sorting: in rounds, exact bytes are summed for the digits of the keys that could
 still be a splitter, and every open interval is narrowed until the bytes below a boundary are within the tolerance
 of its target. Then rows are exchanged once, by shard and cell (a shard is cut into ``cells`` key ranges by the same
-rounds, so that no task gets a whole shard or a whole group of equal texts), and numbered.
+rounds, so that no task gets a whole shard or a whole group of equal texts; more of them where a cell would hold over
+``cell_rows``, up to ``MOST_CELLS``), and numbered.
 
-Defined results: a null text counts as empty (16 bytes, crc32 0). Rows that repeat a key (same text and doc_id) are
+Defined results: a null text counts as empty (16 bytes, crc32 0). Among equal texts, rows without doc_id come first, as
+if it were the smallest; like other rows of one key they are not parted. Rows that repeat a key (same text and doc_id) are
 kept, lie in one shard and get different slots. An empty table gives an empty result. Columns other than doc_id and
 text are ignored, whatever their names.
 """
@@ -23,6 +25,7 @@ HASH_BITS, ID_BITS = 60, 64
 #: Bits that a round adds: the first histogram has 2**14 bins, a later one 2**6 for each open interval.
 WIDTHS = [14, *[6] * 7, 4, *[6] * 10, 4]
 LEAST = -(1 << 63)
+MOST_CELLS = 256
 
 
 def slim_rows(docs: DataFrame) -> DataFrame:
@@ -30,6 +33,7 @@ def slim_rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"),
         (F.octet_length(text).cast("long") + F.lit(16)).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text), 64 - HASH_BITS).alias("h"),
@@ -40,7 +44,7 @@ def _histogram(rows: DataFrame, done: int, width: int, prefixes: list[int]) -> d
     """Bytes and rows by next digit (``width`` bits after ``done`` bits) of the keys under each prefix; at most
     len(prefixes) * 2**width rows reach the driver."""
     spark = rows.sparkSession
-    u = F.col("doc_id").bitwiseXOR(F.lit(LEAST))
+    u = F.col("id").bitwiseXOR(F.lit(LEAST))
     if done < HASH_BITS:
         prefix = F.shiftright("h", HASH_BITS - done)
         digit = F.shiftright("h", HASH_BITS - done - width).bitwiseAND((1 << width) - 1)
@@ -99,17 +103,18 @@ def find_splitters(rows: DataFrame, targets: list[tuple[int, float]]) -> list[in
 
 
 def _bound(key: int) -> tuple[int, int]:
-    """A splitter as (hash, doc_id) in the rows' signed order."""
+    """A splitter as (hash, id) in the rows' signed order."""
     return key >> ID_BITS, (key & ((1 << ID_BITS) - 1)) - (1 << 63)
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, cells: int = 16, tolerance: float = 0.001) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, cells: int = 16, tolerance: float = 0.001, cell_rows: int = 1_000_000) -> DataFrame:
     """Columns doc_id, size, text_crc32, law, shard, slot, grown_shard; shards of nearly equal bytes.
 
     tolerance: of a shard's bytes, for a shard's edge; a cell's inner edges may be off by a tenth of a cell.
     """
     rows = materialize(slim_rows(docs))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    cells = max(cells, min(MOST_CELLS, count // (shards * cell_rows)))
     parts = shards * cells
     targets = [(total * j // parts, tolerance * total / shards if j % cells == 0 else 0.1 * total / parts) for j in range(1, parts)]
     keys = sorted(find_splitters(rows, targets)) if total else []
@@ -117,15 +122,15 @@ def shard_documents(docs: DataFrame, shards: int = 40, cells: int = 16, toleranc
     edges, inner = bounds[cells - 1 :: cells], [bounds[i * cells : i * cells + cells - 1] for i in range(shards)] if bounds else []
     shard: Column = F.lit(0)
     for h, d in edges:
-        shard = shard + ((F.col("h") > h) | ((F.col("h") == h) & (F.col("doc_id") >= d))).cast("int")
-    table_ = F.array(*[F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("doc_id")) for h, d in group]) for group in inner]) if inner else None
-    key = F.struct("h", "doc_id")
+        shard = shard + ((F.col("h") > h) | ((F.col("h") == h) & (F.col("id") >= d))).cast("int")
+    table_ = F.array(*[F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("id")) for h, d in group]) for group in inner]) if inner else None
+    key = F.struct("h", "id")
     cell = F.size(F.filter(F.element_at(table_, F.col("shard") + 1), lambda x: x <= key)) if inner else F.lit(0)
     placed = rows.withColumn("shard", shard.cast("int")).withColumn("cell", cell.cast("int"))
     # at most shards * cells rows: the offset of each cell in its shard
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("h", "doc_id")))
+    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("h", "id")))
     return numbered.join(F.broadcast(offsets), ["shard", "cell"]).select(
         "doc_id",
         "size",
