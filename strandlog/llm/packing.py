@@ -5,10 +5,13 @@ where the tokenizer's pre-tokenisation always cuts, so that each distinct word o
 Whole sequences' worth of ids leave at once. What remains of a document is placed best-fit in one of a fixed number
 of open windows of its partition; when none fits, the fullest window is emitted, topped up by cutting the piece if its
 gap is worth a cut, and a window is opened for the rest. The windows still open at a partition's end are merged: their
-pieces, with their ids, are dealt to groups of bounded size and joined end to end, cut where a sequence is full. So a
+pieces, with their ids, are dealt to groups of some ``merge_rows`` and joined end to end, cut where a sequence is full. So a
 partition needs ``windows`` * ``length`` ids of memory beside its batch, and padding is left in emitted windows (less
 than ``least_cut`` each) and in the last sequence of each merging group.
 
+Added tokens of the file (such as its end-of-text string): texts that hold their strings go whole through the tokenizers
+library with its usual settings, so that the string is the token's id; with ``added`` off it is read as ordinary text.
+
 Defined results: null and empty texts are one end id. Rows that repeat a doc_id are documents of their own. Sequence
 ids are unique, not gapless; they depend on how the input is split into partitions, as does the packing. Columns other
 than doc_id and text are ignored. An empty table gives no rows.
@@ -72,19 +75,34 @@ def _ranked(path: str):
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes, by a tokenizers file; words are remembered."""
+    """Ids of whole texts as little-endian 32-bit bytes, by a tokenizers file; words are remembered. added: whether the
+    strings of added tokens in a text are those tokens."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 300_000, added: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path = path
         self.quick = _ranked(path)
-        if self.quick is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = None if self.quick else self._library(ordinary=True)
+        with open(path, encoding="utf-8") as f:
+            names = [t["content"] for t in json.load(f).get("added_tokens") or []] if added else []
+        self.added = re.compile("|".join(map(re.escape, names)), re.I) if names else None
+        self.plain = None
         self.keep = keep
         self.cache: dict[str, bytes] = {}
 
+    def _library(self, ordinary: bool):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        if ordinary:
+            found.encode_special_tokens = True
+        return found
+
+    def _with_added(self, text: str) -> bytes:
+        if self.plain is None:
+            self.plain = self._library(ordinary=False)
+        return array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.quick is not None:
             return [array("I", self.quick(x)).tobytes() for x in texts]
@@ -94,21 +112,25 @@ class WordEncoder:
         if len(self.cache) > self.keep:
             self.cache.clear()
         cache = self.cache
+        special = {}
+        if self.added:
+            special = {i: self._with_added(t) for i, t in enumerate(texts) if t and self.added.search(t)}
+            texts = [None if i in special else t for i, t in enumerate(texts)] if special else texts
         cut = [(_GAP.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
         new = list(set().union(*[words[1:] for words in cut]).difference(cache))
         cache.update(zip(new, self._encode([" " + w for w in new]), strict=True))
         heads = iter(self._encode([words[0] for words in cut if words]))
         get = cache.__getitem__
-        return [b"".join([next(heads), *map(get, words[1:])]) if words else b"" for words in cut]
+        return [special.get(i, b"".join([next(heads), *map(get, words[1:])]) if words else b"") for i, words in enumerate(cut)]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool) -> WordEncoder:
+    if (path, added) not in _encoders:
+        _encoders[path, added] = WordEncoder(path, added=added)
+    return _encoders[path, added]
 
 
 class Packer:
@@ -168,11 +190,11 @@ class Packer:
         return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:7]], pa.array(columns[7], pa.binary())], [*names, "ids"])
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, windows: int = 32, least_cut: int = 32, merge_rows: int = 20_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, windows: int = 32, least_cut: int = 32, merge_rows: int = 500, added: bool = True) -> DataFrame:
     """Rows of PIECE: every id of every document lies in one piece, every piece in one place of one sequence."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        own, end = encoder(path, added), np.array([end_id], "<u4").tobytes()
         packer = Packer(length, windows, least_cut, TaskContext.get().partitionId() * PER_TASK)
         for batch in slices(batches, "text", 2 << 20):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
