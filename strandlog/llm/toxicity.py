@@ -108,7 +108,8 @@ class Restorer:
         return found
 
     def decode(self, lattice: list[list[tuple[str, float]]], price: float = 0.0) -> str:
-        """The best path. price: what the end of a word within the lattice costs besides the model's part."""
+        """The best path. price: what the end of a word within the lattice costs besides the model's part. A state is the last
+        two letters: "^^" before any word, "^^ " after one."""
         paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # the text as (text before, reading): time grows with the length only
         for reads in lattice:
             ahead: dict[str, tuple[float, tuple | None]] = {}
@@ -117,16 +118,16 @@ class Restorer:
                     at, total = state, score + s
                     for c in read:
                         if c == " ":
-                            if at != "^^":
+                            if at[:2] != "^^":
                                 total += self.cost(at, "$") - price
-                            at = "^^"
+                                at = "^^ "
                             continue
-                        total += self.cost(at, c)
+                        total += self.cost(at[:2], c)
                         at = at[1] + c
                     if at not in ahead or total > ahead[at][0]:
                         ahead[at] = (total, (text, read) if read else text)
             paths = ahead
-        text = max((score + (self.cost(at, "$") if at != "^^" or not text else 0.0), at, text) for at, (score, text) in paths.items())[2]
+        text = max((score + (self.cost(at, "$") if at != "^^ " else 0.0), at, text) for at, (score, text) in paths.items())[2]
         parts = []
         while text:
             text, read = text
