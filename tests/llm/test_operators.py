@@ -457,6 +457,182 @@ def test_gradients():
             assert abs((up - down) / (2 * step) - grad[p]) < 2e-2 * max(1.0, abs(grad[p]))
 
 
+# ---------------------------------------------------------------- cases that once failed
+
+
+def test_few_words_in_a_slice(spark):
+    """A slice of 0 to 25 words in all."""
+    from strandlog.llm.similar import similar_components
+    from strandlog.llm.substrings import remove_repeats
+
+    for texts in (["x"], ["x", "x"], ["x y"], ["x y z"], ["x y z w", None], [""], [" ".join("abcdefghijklmnopqrstuvwxy"[:n]) for n in (1, 19, 20, 25)]):
+        rows = list(enumerate(texts))
+        d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        want = cut_brute(rows, 20)
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in remove_repeats(d).collect()} == {i: x[:2] for i, x in want.items()}
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(d).collect()} == link_brute(rows)
+
+
+def test_clashing_inner_names(spark):
+    from strandlog.llm.substrings import remove_repeats
+
+    d = spark.createDataFrame([(1, "a b", 7, "h", "s"), (None, "a b", 8, None, "t")], "doc_id long, text string, __id long, __hash string, spans string")
+    got = remove_repeats(d)
+    assert got.columns == [*d.columns, "n_words", "n_removed"]
+    assert {(r["__id"], r["__hash"], r["spans"], r["n_removed"]) for r in got.collect()} == {(7, "h", "s", 0), (8, None, "t", 0)}
+
+
+def test_large_ids(spark):
+    from strandlog.llm.common import components
+
+    top = (1 << 63) - 1
+    edges = [(top - i, top - i - 1) for i in range(40)] + [(-top, -top + 5)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {top - i: top - 40 for i in range(41)} | {-top: -top, -top + 5: -top}
+
+
+def test_null_ids(spark):
+    from strandlog.llm.sharding import shard_documents
+    from strandlog.llm.similar import similar_components
+
+    d = spark.createDataFrame([(None, "same"), (1, "same"), (None, None), (2, "b"), (None, "a b c")], "doc_id long, text string")
+    got = shard_documents(d, shards=2, cells=2).collect()
+    assert len(got) == 5 and sorted((r["doc_id"] or 0, r["size"]) for r in got) == [(0, 16), (0, 20), (0, 21), (1, 20), (2, 17)]
+    for k in (0, 1):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in similar_components(d).collect()) == [(0, 0, 0), (0, 1, 0), (0, 1, 0), (1, 1, 1), (2, 1, 2)]
+
+
+def test_splitters_equal_a_sort(spark):
+    """The boundaries of the histogram rounds against those of a plain sort, on rows with large groups of equal texts."""
+    from strandlog.llm.sharding import ID_BITS, find_splitters, slim_rows
+
+    draw = random.Random(12)
+    rows = [(draw.randrange(-1000, 1000), "same " * 30 if i % 3 == 0 else "x" * draw.randrange(200)) for i in range(600)]
+    slim = slim_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    keyed = sorted(((r["h"] << ID_BITS) | (r["id"] + (1 << 63)), r["size"]) for r in slim.collect())
+    total = sum(s for _, s in keyed)
+    targets = [(total * j // 7, 0.0) for j in range(1, 7)]
+    for (target, _), key in zip(targets, find_splitters(slim, targets), strict=True):
+        below = sum(s for k, s in keyed if k < key)
+        nearest = min(abs(sum(s for k, s in keyed if k < edge) - target) for edge in [k for k, _ in keyed] + [1 << 200])
+        assert abs(below - target) == nearest
+
+
+def test_huge_components(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.llm.topk import top_k, whole_numbers
+
+    rows = [(0, [1.0, 2.0]), (1, [1e30, 1.0]), (2, [3.0, -1.0]), (3, [7e5, 7e5]), (4, [-1e300, 0.0]), (5, [0.5, 0.5]), (6, [1e6, 1.0])]
+    d = whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for options in ({}, {"small": 0}):
+        got = [tuple(r) for r in top_k(d, F.col("vec_id") % 100 == 0, k=5, **options).orderBy("rank").collect()]
+        whole = {i: [int(1024 * x // 1) for x in v] for i, v in rows if max(map(abs, v)) * 1024 <= 2**30 / 2**0.5 - 1}
+        want = sorted((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i)
+        assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(want)] and set(whole) == {0, 2, 3, 5}
+
+
+def test_added_tokens():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from strandlog.llm.packing import WordEncoder
+
+    path = public.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), WordEncoder(path, added=True)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y  z", "none here", "<|ENDOFTEXT|>", "", None, "<|endoftext| >"]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want and np.frombuffer(want[1], "<u4").tolist() == [50256]
+
+
+def page_of(source):
+    from strandlog.llm.pagetext import best_paths, main_text, read_page
+
+    page = read_page(source)
+    return main_text(page, [p for p, _ in best_paths(page)])
+
+
+def test_page_attributes():
+    body = "<body><nav>menu</nav><article{}>{}</article></body>"
+    kept = "<h2 id='how-to-follow'>A</h2><p>one</p><section id='search'><h2 id=related-work>B</h2><p>two <math><mi>x</mi></math></p></section><ul><li><a>r1</a><li><a>r2</a><li><a>r3</a></ul>"
+    for attributes in ("", " class='overflow-hidden'", " aria-hidden='false'", " data-x='hidden'", " style='overflow:hidden'"):
+        assert page_of(body.format(attributes, kept)) == "A\n\none\n\nB\n\ntwo x\n\nr1\n\nr2\n\nr3"
+    for gone in ("<div hidden>x</div>", "<div aria-hidden=true>x</div>", "<p style='display : none'>x</p>", "<section id=comments><p>x</p></section>", "<div class='post-comments'>x</div>", "<div role=search>x</div>", "<div class=adBox>x</div>"):
+        assert page_of(body.format("", kept + gone)) == page_of(body.format("", kept)), gone
+    for stays in ("<div class='content-with-sidebar'>x</div>", "<div class=menuscript>x</div>", "<div hidden=until-found>x</div>"):
+        assert page_of(body.format("", kept + stays)) == page_of(body.format("", kept)) + "\n\nx", stays
+
+
+def test_page_depth_and_siblings():
+    assert page_of("<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>after") in ("deep", "deep\n\nafter")
+    parts = "<div class=intro><p>{}</p></div><div class=story><p>{}</p></div><div class=more><p>{}</p></div>".format("i" * 300, "s" * 1000, "m" * 400)
+    menu = "<ul><li><a>aaa</a><li><a>bbb</a><li><a>ccc</a></ul>"
+    assert page_of(f"<body><div class=wrap>{menu}{parts}{menu}</div></body>") == "i" * 300 + "\n\n" + "s" * 1000 + "\n\n" + "m" * 400
+
+
+def test_decoding_equals_search():
+    """The Viterbi path against every path of random lattices."""
+    import itertools
+    from collections import Counter
+
+    from strandlog.llm.toxicity import Restorer, options
+
+    draw = random.Random(13)
+    grams = Counter()
+    for _ in range(60):
+        w = "".join(draw.choice("abilost") for _ in range(draw.randint(1, 6)))
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += draw.randint(1, 9)
+    r = Restorer(dict(grams))
+
+    def worth(path):
+        total, at, some = sum(s for _, s in path), "^^", False
+        for c in "".join(x for x, _ in path):
+            if c == " ":
+                total += r.cost(at, "$") if at != "^^" else 0.0
+                at = "^^"
+            else:
+                total, at, some = total + r.cost(at, c), at[1] + c, True
+        return total + (r.cost(at, "$") if at != "^^" or not some else 0.0)
+
+    for i in range(150):
+        lattice = options("".join(draw.choice("ab10$!*lostt.") for _ in range(draw.randint(1, 6))), spaced=i % 2 == 1)
+        paths = list(itertools.product(*lattice))
+        found = r.decode(lattice)
+        best = max(map(worth, paths))
+        assert any("".join(x for x, _ in p) == found and abs(worth(p) - best) < 1e-9 for p in paths)
+
+
+def test_repetition_verdict(spark):
+    """Every field and the verdict of op4 by brute force."""
+    from collections import Counter
+
+    from strandlog.llm.repetition import judge_repetition
+
+    draw = random.Random(14)
+    long_ = [f"w{i}" for i in range(150)]
+    texts = [None, "", " ".join(long_ + long_), " ".join(f"u{i}" for i in range(40)), " ".join([*(f"u{i}" for i in range(900)), *long_, *long_])]
+    texts += [" ".join(draw.choice("abcdefghijklmnop") * draw.randint(1, 2) for _ in range(draw.randint(1, 120))) for _ in range(60)]
+    texts += [" ".join([*(draw.choice(long_) for _ in range(30)), *long_[: draw.randint(5, 40)], "x", *long_[:30]]) for _ in range(40)]
+    got = {r["doc_id"]: r for r in judge_repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = words(t)
+
+        def covered(size):
+            seen, hit = Counter(tuple(w[j : j + size]) for j in range(len(w) - size + 1)), [0] * len(w)
+            for j in range(len(w) - size + 1):
+                if seen[tuple(w[j : j + size])] > 1:
+                    hit[j : j + size] = [1] * size
+            return sum(hit)
+
+        longest = max((k for k in range(1, len(w)) if max(Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)).values()) > 1), default=0)
+        failed = len(w) < 20 or 100 * covered(8) > 30 * len(w)
+        bad = covered(6) > 0.3 * len(w) or (longest > 100 and 10 * longest > len(w))
+        assert (got[i]["base_failed"], got[i]["kept"]) == (failed, not failed and not bad), i
+    assert {r["kept"] for r in got.values()} == {True, False} and any(not r["base_failed"] and not r["kept"] for r in got.values())
+
+
 # ---------------------------------------------------------------- shared
 
 
