@@ -673,3 +673,37 @@ def test_pipeline(spark, tmp_path):
     spoken = corpus_pipeline.identify_language(spark, d, folder, least=0.0)
     assert spoken.columns == d.columns and spoken.count() == sum(bool(re.search(r"[^\W\d_]", t or "")) for _, t in rows)
     assert corpus_pipeline.pack(spark, d, folder).select("doc_id").distinct().count() == len({i for i, _ in rows})
+
+
+def test_near_duplicates_by_text(spark, tmp_path):
+    """Rows that bear one doc_id and several texts, repeated rows, rows without id or words."""
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (None, a, 5), (None, a, 6), (7, "", 7), (7, "", 8), (8, None, 9), (9, b + " c", 10), (2, b + " d", 11), (2, b + " e", 12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __verdict long")
+    got = [tuple(r) for r in corpus_pipeline.remove_near_duplicates(spark, d, "").collect()]
+    twos = [r for r in got if r[0] == 2]
+    assert len(twos) == 1 and twos[0][2] in (11, 12)
+    assert sorted(r[2] for r in got if r[0] != 2) == [1, 5, 6, 7, 8, 9]
+    assert corpus_pipeline.remove_near_duplicates(spark, d.where("doc_id = 0"), "").count() == 0
+    only = corpus_pipeline.remove_near_duplicates(spark, d.where("doc_id = 5 and __verdict > 2"), "")
+    assert only.columns == d.columns and only.count() == 1
+
+
+def test_pipeline_whole(spark, tmp_path):
+    """run() over a folder of tables, rows with nulls among them, and over empty tables."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rows = [(i, t, ["aa", "bb"][i % 2]) for i, t in corpus()] + [(None, "no id here", "aa"), (77, None, None)]
+    d = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 0, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) toxic")
+    for name, some in (("whole", True), ("empty", False)):
+        folder = str(tmp_path / name)
+        (d if some else d.where("false")).write.parquet(f"{folder}/documents.parquet")
+        (labels if some else labels.where("false")).write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert bool(got) == some and len({(r["doc_id"], r["start"]) for r in got}) == len(got)
+        for r in got:
+            assert r["offset"] + r["length"] <= 2048
