@@ -11,7 +11,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, ByteType, IntegerType, LongType, ShortType, StringType, StructField
 
 
 def canonical_json(value: object) -> str:
@@ -56,6 +56,26 @@ def struct_hash(**fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)])), 256)
 
 
+#: Types that Spark's JSON writer spells as canonical JSON does (but for rare control characters).
+PLAIN_TYPES = (StringType, BooleanType, ByteType, ShortType, IntegerType, LongType)
+
+
+def object_hash_column(fields: list[StructField]) -> Column:
+    """Canonical hash of a row with these columns: nulls are null fields, keys are sorted on every level, numbers are
+    spelled as canonical JSON has them, so that a row hashes as its own JSON line. Rows of plain types stay in the JVM;
+    others, and texts with unusual control characters, are written again by an Arrow-batched function."""
+    names = sorted(f.name for f in fields)
+    written = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"ignoreNullFields": "false"})
+
+    @F.pandas_udf(StringType())
+    def hashed(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: hash_value(json.loads(x)))
+
+    if all(isinstance(f.dataType, PLAIN_TYPES) for f in fields):
+        return F.when(F.contains(written, F.lit("\\u00")), hashed(written)).otherwise(F.sha2(written, 256))
+    return hashed(written)
+
+
 def author_id_column(name: Column, email: Column) -> Column:
     return struct_hash(email=F.coalesce(email, F.lit("")), name=F.coalesce(name, F.lit("")))
 

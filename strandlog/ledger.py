@@ -219,7 +219,7 @@ class Ledger:
             raise InvalidRecord("an embedding and its model go together")
         file = hashing.normalize_file(file, self.path)
         fields = [c for c in df.columns if c not in (token_count, embedding)]
-        h = hashing.text_hash_column(F.col(text_column)) if text_column else hashing.struct_hash(**{c: F.col(c) for c in fields})
+        h = hashing.text_hash_column(F.col(text_column)) if text_column else hashing.object_hash_column([df.schema[c] for c in fields])
         marked = df.withColumn("line_hash", h)
         key = F.array(*map(F.lit, hashes))
         fresh = marked.select("line_hash").distinct()

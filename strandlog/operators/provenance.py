@@ -1,8 +1,8 @@
 """Queries over the provenance layers: authors, sections, documents. Pure functions from DataFrames to DataFrames.
 
-Semi-joins run over exploded edges, so that they are equi-joins whatever the arrays' lengths, and collapse to the
-document by a row id, so that repeated records stay as they are. Sides are never forced to be broadcast: adaptive
-execution picks that by their measured size.
+Semi-joins run over the exploded sources of distinct lists, so that they are equi-joins whatever the lists' lengths, and
+reach the records by the list itself, so that repeated records stay as they are. Sides are never forced to be broadcast:
+adaptive execution picks that by their measured size.
 """
 
 from __future__ import annotations
@@ -68,16 +68,18 @@ def with_row_id(records: DataFrame) -> DataFrame:
 
 
 def _touching(records: DataFrame, hashes: DataFrame) -> DataFrame:
-    """row_ids of records with any of the sources (section_hash)."""
-    edges = records.select("row_id", F.explode("sources").alias("section_hash"))
-    return edges.join(hashes.select("section_hash"), "section_hash", "left_semi").select("row_id").distinct()
+    """The distinct lists of sources that hold any of the hashes (section_hash). Whether a record is touched depends on
+    its list alone, and lists repeat: they are made distinct within each task before anything is shuffled, and the
+    records need neither ids nor a shuffle as long as the touched lists are few."""
+    kinds = records.select("sources").where(F.col("sources").isNotNull()).distinct()
+    edges = kinds.select("sources", F.explode("sources").alias("section_hash"))
+    return edges.join(hashes.select("section_hash").distinct(), "section_hash", "left_semi").select("sources").distinct()
 
 
 def records_of_sections(records: DataFrame, hashes: DataFrame) -> DataFrame:
     """Records with any source among the hashes, each stored record once. A handful of hashes known beforehand is
-    better served by records_of_section: one scan, no shuffle."""
-    marked = with_row_id(records)
-    return marked.join(_touching(marked, hashes), "row_id", "left_semi")
+    better served by records_of_section: one scan, no join."""
+    return records.join(_touching(records, hashes), "sources", "left_semi")
 
 
 def records_of_section(records: DataFrame, *hashes: str) -> DataFrame:
@@ -92,18 +94,17 @@ def revoked_sections(sections: DataFrame, authors: DataFrame) -> DataFrame:
 
 def revoked_records(records: DataFrame, sections: DataFrame, authors: DataFrame, line_level: bool = True) -> DataFrame:
     """Records with a revoked source, or revoked themselves."""
-    marked = with_row_id(records)
-    touched = _touching(marked, revoked_sections(sections, authors))
-    if line_level:
-        touched = touched.unionByName(marked.where(is_revoked()).select("row_id")).distinct()
-    return marked.join(touched, "row_id", "left_semi")
+    touched = _touching(records, revoked_sections(sections, authors))
+    if not line_level:
+        return records.join(touched, "sources", "left_semi")
+    marked = records.join(touched.withColumn("__touched", F.lit(True)), "sources", "left")
+    return marked.where(F.col("__touched") | is_revoked()).select(*records.columns)
 
 
 def active_records(records: DataFrame, sections: DataFrame, authors: DataFrame, line_level: bool = True) -> DataFrame:
     """Records without any revoked source, and not revoked themselves unless line_level is off."""
-    marked = with_row_id(records)
-    kept = marked.join(_touching(marked, revoked_sections(sections, authors)), "row_id", "left_anti")
-    return kept.where(~is_revoked()) if line_level else kept
+    kept = records.where(~is_revoked()) if line_level else records
+    return kept.join(_touching(kept, revoked_sections(sections, authors)), "sources", "left_anti")
 
 
 def show(
@@ -118,7 +119,7 @@ def show(
     line_level: bool = True,
 ) -> DataFrame:
     """Document records by section, else licence, else author (name, or email), else all; active ones by default."""
-    found = with_row_id(records)
+    found = records
     if section is not None:
         found = records_of_section(found, section)
     elif license is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import similarity
-from strandlog.functions.hashing import line_hash_column, safe_filename_column, struct_hash, url_encode_column
+from strandlog.functions.hashing import line_hash_column, object_hash_column, safe_filename_column, struct_hash, url_encode_column
 from strandlog.operators import merge, provenance, reconcile, reconstruct, revocation, tokens
 from strandlog.plans.derived import PRELUDE, Views
 from strandlog.sources import wiki
@@ -160,9 +160,9 @@ def records_by_file(v: Views) -> DataFrame:
     return _flat(v.records().where(F.col("file") == "data/src1.jsonl"))
 
 
-@_query(FLAT + " WHERE line_hash IN (SELECT line_hash FROM records WHERE row_id % 50 = 0)")
+@_query(FLAT)
 def blame_lines(v: Views) -> DataFrame:
-    lines = v.records().where("row_id % 50 = 0").select("line_hash").distinct()
+    lines = v.records().select("line_hash").distinct()  # every line of the data is blamed
     return _flat(provenance.blame(lines, v.records()))
 
 
@@ -459,6 +459,18 @@ def line_hash_objects(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", struct_hash(text=F.col("text"), role=F.col("role")).alias("line_hash"))
 
 
+@_query(
+    """SELECT event_id, sha256(CAST(to_json({'n': CASE WHEN event_id % 3 > 0 THEN event_id END, 'nested': {'a': event_type, 'z': CASE WHEN event_id % 2 = 0 THEN user_id END},
+    'value': CAST(event_id AS DOUBLE) / 4}) AS VARCHAR)) AS line_hash FROM events""",
+    prelude=False,
+)
+def line_hash_rows(v: Views) -> DataFrame:
+    """Rows with nulls, nested and double fields hash as their own canonical JSON lines."""
+    e = v.table("events")
+    rows = e.select("event_id", (F.col("event_id") / 4).alias("value"), F.when(F.col("event_id") % 3 > 0, F.col("event_id")).alias("n"), F.struct(F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("z"), F.col("event_type").alias("a")).alias("nested"))
+    return rows.select("event_id", object_hash_column([f for f in rows.schema.fields if f.name != "event_id"]).alias("line_hash"))
+
+
 @_query("SELECT section_hash, path, license FROM sections")
 def section_hashes(v: Views) -> DataFrame:
     return v.sections().select("section_hash", "path", "license")
@@ -489,11 +501,11 @@ def split_sections(v: Views) -> DataFrame:
     return wiki.page_sections(whole, blame=True).select("page_title", "heading", "start_line", "end_line", F.length("text").alias("n_chars"), F.concat_ws(",", "authors").alias("authors"))
 
 
-@_query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[*#;:]+', '', 'g')) AS text FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '''{2,5}', '', 'g'), '\\{\\{.*?\\}\\}', '', 'g'), '<ref.*?</ref>', '', 'g'), '\\[\\[|\\]\\]', '', 'g'), '\\|--\\}|\\{\\||\\|-|\\|', '', 'g') AS html FROM pages)", prelude=False)
+@_query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '" + wiki.MARKUP.replace("'", "''") + "', '', 'g'), '[\\[\\]]{2}', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages", prelude=False)
 def strip_markup(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", wiki.strip_markup_column(F.col("html")).alias("text"))
 
 
 @_query()
 def simulate_edits(v: Views) -> DataFrame:
-    return reconstruct.simulate_edits(v.table("benchmark").select(F.col("item_id").alias("rec_id"), "text"))
+    return reconstruct.simulate_edits(v.table("documents").select(F.col("doc_id").alias("rec_id"), "text"))

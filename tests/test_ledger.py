@@ -227,3 +227,37 @@ def test_streaming(spark, ledger, tmp_path):
         track_stream(stream, ledger, "s.jsonl", [s], str(tmp_path / "ck"), text_column="text", token_count="n", tokenizer="g").awaitTermination()
     ledger.compact()
     assert ledger.table("documents").count() == 2 and ledger.table("tokens").count() == 2
+
+
+def test_rows_hash_as_their_lines(spark, tmp_path):
+    """A tracked row with null, nested and double fields hashes as its own JSON line, so that a purge finds the line."""
+    import json
+
+    from strandlog.ledger import Ledger
+    from strandlog.sources.lines import numbered_lines
+
+    rows = [{"x": None, "b": {"z": 1, "a": [1.5, None]}, "v": 1e16, "t": "a\x1f\"é"}, {"x": "y", "b": {"z": None, "a": None}, "v": 100.0, "t": "b"}, {"x": "keep", "b": None, "v": -0.0, "t": None}]
+    path = str(tmp_path / "d.jsonl")
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(json.dumps(r, ensure_ascii=False) + "\n" for r in rows)
+    df = spark.createDataFrame([(r["x"], (r["b"]["a"], r["b"]["z"]) if r["b"] else None, r["v"], r["t"]) for r in rows], "x string, b struct<a: array<double>, z: long>, v double, t string")
+    plain = df.select("x", "t")
+    h = [r[0] for r in df.select(hashing.object_hash_column(df.schema.fields)).collect()]
+    assert sorted(h) == sorted(r["line_hash"] for r in numbered_lines(spark, path).collect()) == sorted(hashing.hash_value(r) for r in rows)
+    assert sorted(r[0] for r in plain.select(hashing.object_hash_column(plain.schema.fields)).collect()) == sorted(hashing.hash_value({"x": r["x"], "t": r["t"]}) for r in rows)
+    ledger = Ledger.init(spark, str(tmp_path / "ledger"))
+    ledger.add_author("Ann", "ann@x")
+    bad = ledger.register_section("raw/a", ["Ann"], "MIT", "2024")
+    ledger.track(df.where("x is null or x = 'y'"), "d.jsonl", sources=[bad])
+    ledger.compact()
+    ledger.revoke(section=bad)
+    assert ledger.show(revoked=True).count() == 2 and ledger.show().count() == 0
+    assert ledger.blame(path, 1).count() == 1
+
+
+def test_markup_in_the_jvm(spark):
+    from strandlog.sources import wiki
+
+    texts = ["=<b>=x", "\u3000 ''b'' [[x|y]] {{t}}\r {{u\rv}} <ref>r</ref>* y \x1c\n", "{|a|-b|--}", "<br/>[[[z]]] ]]", "== H ==\n# one\n;: d", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(wiki.strip_markup_column(F.col("t"))).collect()]
+    assert got == [wiki.strip_markup(t) for t in texts] and got[0] == "==x"
