@@ -6,6 +6,8 @@ import contextlib
 import ctypes
 import glob
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,20 +31,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir, from the session)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir, from the session). Where it is
+    unset, a local master gets a temporary folder; on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        root = f"/tmp/strandlog-{spark.sparkContext.applicationId}"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+        root = f"{tempfile.gettempdir()}/strandlog-{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/strandlog-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors, is not computed twice."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_written: list[str] = []
+
+
+def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors, is not computed twice.
+    batch_rows: rows of an Arrow batch while this is computed, for steps whose rows are large."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch(spark), spark.conf.get(name)
+    try:
+        if batch_rows:
+            spark.conf.set(name, str(batch_rows))
+        _written.append(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what the operators of this process have written to the shared folder. Their results cannot be read after
+    that, so write or collect these first."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most ``limit`` bytes (one row at least) and not just a number of rows:
+    texts are long, and a batch is held several times on its way to Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not known or not 0 < int(known[1]) <= limit:
+        conf.set(name, str(limit))
+    return df
+
+
+def give_back() -> None:
+    """Return to the system what numpy, Arrow and the allocator hold without need: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -56,6 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 @contextlib.contextmanager
@@ -86,11 +131,11 @@ def _power_table(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), modulo 2**64."""
     known = _powers.get(int(base))
     if known is None or len(known) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         known = np.full(size, base, dtype=np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)
-        if size <= 1 << 24:
+        if size <= 1 << 20:
             _powers[int(base)] = known
     return known[:n]
 
@@ -116,15 +161,21 @@ class Words:
     doc: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=total[1:])
-        span = total[self.end] - total[self.start]
-        return mix(span * _power_table(_INVERSE, n)[self.start])
+    def hashes(self, block: int = 1 << 17) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, which does not depend on its place. Worked out for ``block`` bytes at a time
+        (one word at least)."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            low = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, low + block, "right")))
+            n = int(self.end[j - 1]) - low
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data[low : low + n].astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=total[1:])
+            begin = self.start[i:j] - low
+            out[i:j] = mix((total[self.end[i:j] - low] - total[begin]) * _power_table(_INVERSE, n)[begin])
+            i = j
+        return out
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:

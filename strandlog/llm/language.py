@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import one_thread, slices, table
+from strandlog.llm.common import bounded_batches, one_thread, slices, table
 
 def _soft(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
@@ -212,7 +212,7 @@ def apply(docs: DataFrame, net: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(work, f"{schema}, lang_pred string, score double")
+    return bounded_batches(kept).mapInArrow(work, f"{schema}, lang_pred string, score double")
 
 
 def split_rest(column: str = "doc_id") -> Column:

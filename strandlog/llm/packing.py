@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import materialize, slices, table
+from strandlog.llm.common import bounded_batches, materialize, slices, table
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Texts in which some space is not single and between other characters.
@@ -216,7 +216,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, length: int = 20
                     fill, number = 0, number + 1
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    pieces = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, PIECE + ", ids binary"))
+    pieces = materialize(bounded_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(work, PIECE + ", ids binary"))
     left = pieces.where("ids is not null")
     groups = 1 + left.count() // merge_rows
     merged = left.withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int")).groupBy("g").applyInPandas(merge, PIECE)

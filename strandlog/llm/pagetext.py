@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import materialize, slices, table
+from strandlog.llm.common import bounded_batches, materialize, slices, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -309,7 +309,7 @@ def extract_pages(pages: DataFrame, small: int = 50_000, salts: int = 32, most:
     def out(votes: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
 
-    summed = slim.select(host.alias("host"), "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    summed = bounded_batches(slim.select(host.alias("host"), "html")).mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     # each task keeps a host's best before the shuffle, so that a host with endless paths fills no task
     order = Window.partitionBy("host").orderBy(F.col("votes").desc(), "path")
     best = summed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)

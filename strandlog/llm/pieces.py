@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlog.llm.common import slices, table
+from strandlog.llm.common import bounded_batches, slices, table
 
 MARK = "▁"
 #: Before a mark that follows another character, words begin.
@@ -275,7 +275,7 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(own.decode, ids)), pa.string())], ["doc_id", "ids", "decoded"])
 
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    return slim.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string")
+    return bounded_batches(slim).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

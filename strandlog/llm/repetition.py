@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlog.llm.common import WHITE, Words, slices, split_words, table
+from strandlog.llm.common import WHITE, Words, bounded_batches, slices, split_words, table
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -157,7 +157,7 @@ def judge_repetition(docs: DataFrame, least: int = 6, most_covered: float = 0.3,
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m[x], pa.bool_() if x in ("base_failed", "kept") else pa.int64()) for x in names]], [*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(work, f"{schema}, {FIELDS}")
+    return bounded_batches(slim).mapInArrow(work, f"{schema}, {FIELDS}")
 
 
 def op4_repetition_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

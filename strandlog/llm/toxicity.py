@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import materialize, slices, table
+from strandlog.llm.common import bounded_batches, materialize, slices, table
 
 #: What a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
@@ -102,7 +102,7 @@ class Restorer:
         gram = at + c
         found = self.costs.get(gram)
         if found is None:
-            if len(self.costs) > 400_000:
+            if len(self.costs) > 200_000:
                 self.costs.clear()
             found = self.costs[gram] = math.log((self.grams.get(gram, 0) + 0.1) / (self.pairs.get(at, 0) + 0.1 * self.letters))
         return found
@@ -144,7 +144,7 @@ class Restorer:
             return core
         if worded(core):
             core = self.decode(options(core))
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 100_000:
             self.cache.clear()
         self.cache[token] = core
         return core
@@ -204,12 +204,12 @@ def character_model(docs: DataFrame) -> dict[str, int]:
             for text in batch.column("text").to_pylist():
                 if text:
                     words.update(text.lower().split())
-            if len(words) > 300_000:
+            if len(words) > 150_000:
                 spill()
         spill()
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = bounded_batches(docs.select("text")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     whole = counted.toArrow()
     return dict(zip(whole.column("gram").to_pylist(), whole.column("n").to_pylist(), strict=True))
 
@@ -272,7 +272,7 @@ class Scorer:
 
     def top(self, text: str | None) -> list[float]:
         best = self.best
-        if len(best) > 400_000:
+        if len(best) > 200_000:
             best.clear()
         found = []
         if text:
@@ -387,7 +387,7 @@ def apply(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(work, f"{schema}, score double, predicted int")
+    return bounded_batches(slim).mapInArrow(work, f"{schema}, score double, predicted int")
 
 
 def op3_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
