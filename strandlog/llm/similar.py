@@ -7,21 +7,24 @@ find too many candidates, so that no link is lost; the last one compares the set
 1. Equal sets are one point; its id is the first half of the set's digest, so that copies meet without a join. A task
    describes a set once.
 2. Points meet under shared keys: the first n - ceil(0.75 n) + 1 shingles of a set in one order of all shingles, all of
-   them at any n. Two linked sets always share one of these. In the order, shingles of a surveyed list of frequent ones
-   come last (at most ``heavy``), so that a common line is a key only of texts which are little else. Any order is exact:
-   the survey decides on speed alone.
+   them at any n. Two linked sets always share one of these. In the order, surveyed frequent shingles come last: those of
+   over ``hot`` texts (or of so many that there can be ``heavy`` of them at most, 8 MB), so that a common line is a key
+   only of texts which are little else. Any order is exact: the survey decides on speed alone.
 3. Shingles are hashed into groups, about one group for two to four shingles; a set's group counts are its point. The
    points under a key form packed R-trees by size class (leaves of 64 points with their coordinate maxima, fan-out 16).
    Pairs of nodes, then points, are cut by size and by the bound |A & B| <= sum of the coordinate minima. What survives
    connects candidates; a key gives at most one edge for each point. Keys with the same members are judged once.
-4. Keys of the frequent list, and others with over ``hot`` members, have no tree: their members of like size (classes
-   overlap, so that no possible pair is parted) are candidates of one another, by one edge to the smallest id each.
+4. Keys of the frequent list, and others with over twice its limit of members, are taken together: members of like size (classes
+   overlap, so that no possible pair is parted) hang together by one edge to the smallest id each, and the points of each
+   set that so hangs together form trees as those of a key do.
 5. Each connected set of candidates is verified with the exact shingle sets: from a document, the ones not yet reached
-   are compared, so that a group of near copies costs about one comparison each. Sets of candidates with over
-   ``group_tokens`` shingles are cut into tiles. Every tile is compared within itself and with ``roots`` members; what
-   hangs together by this is settled, and only members outside the largest class so found are compared with every tile.
-   So memory is bounded, and a huge group of near copies costs time in proportion to it. Candidates' texts are read again
-   for this; up to ``small`` candidates (ids and digests, some 60 bytes each) are broadcast to them.
+   are compared, so that a group of near copies costs about one comparison each. Candidates' texts are read again for
+   this; up to ``small`` candidates (ids and digests, some 60 bytes each) are broadcast to them.
+
+Sets of over ``tile_bytes`` of points (4) or ``group_tokens`` shingles (5) are cut into tiles. Every tile is compared within itself
+and with ``roots`` members; what hangs together by this is settled, and only members outside the largest class so found
+are compared with every tile. So memory is bounded, and a huge group of near copies costs time in proportion to it; sets
+that frequent shingles hold together without likeness cost the square of their size, in tasks of bounded size.
 
 Defined results: documents without words (null, empty) have n_shingles 0 and their own doc_id as component; a text
 with fewer than five words is one shingle of them all. Rows are judged one by one; rows that repeat a doc_id with
@@ -32,14 +35,14 @@ another text are documents of their own. Rows without doc_id get a null componen
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import components, gram_hashes, materialize, mix, room, slices, split_words, table
+from strandlog.llm.common import bounded_batches, components, give_back, gram_hashes, materialize, mix, room, slices, split_words, table
 
 LEAF, FAN = 64, 16
 
@@ -254,32 +257,47 @@ def _segments(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
+
 
+def _merged(hashes: np.ndarray, counts: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts summed by hash; of over 2 * keep the keep most frequent."""
+    hashes, place = np.unique(hashes, return_inverse=True)
+    counts = np.bincount(place, counts, len(hashes)).astype(np.int64)
+    if len(hashes) > 2 * keep:
+        top = np.argpartition(counts, len(counts) - keep)[-keep:]
+        hashes, counts = hashes[top], counts[top]
+    return hashes, counts
 
-def frequent_shingles(texts: DataFrame, width: int, heavy: int, least: int) -> np.ndarray:
-    """At most ``heavy`` shingles with at least 1/heavy of all, and ``least`` texts each; sorted. A slice of texts
-    reports those with this share of its own, which every shingle with the share of the whole reaches in some slice."""
+
+def frequent_shingles(texts: DataFrame, width: int, heavy: int, least: int, block: int = 1 << 21, keep: int = 250_000) -> tuple[np.ndarray, int]:
+    """Shingles found in over ``limit`` texts, sorted, and that limit: ``least``, or more where over ``heavy`` shingles could
+    be so frequent. Counted over all texts; from each block of some ``block`` shingles only those found four times or
+    more are summed up, so that counts may be a little low."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        total = 0
+        hashes, counts, held, size, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, 0
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            found, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            often = times >= min(4, least)
+            return _merged(np.append(hashes, found[often]), np.append(counts, times[often]), keep)
+
         for batch in slices(batches, "text", 1 << 20):
-            flat = np.sort(shingle_sets(batch.column("text"), width)[0])
-            total += len(flat)
-            begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(begin, len(flat)))
-            often = counts >= max(min(least, 8), len(flat) // heavy)
-            for h, n in zip(flat[begin[often]].view(np.int64).tolist(), counts[often].tolist(), strict=True):
-                seen[h] = seen.get(h, 0) + n
-            if len(seen) > 4 * heavy:  # what is far from the share goes
-                seen = {h: n for h, n in seen.items() if n >= total // (2 * heavy) + 1}
-        top = [(h, n) for h, n in seen.items() if n >= total // heavy]
-        yield pa.RecordBatch.from_arrays([pa.array([None, *[h for h, _ in top]], pa.int64()), pa.array([total, *[n for _, n in top]], pa.int64())], ["h", "n"])
-
-    counted = texts.select("text").mapInArrow(survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("h").isNull() | (F.col("n") >= least)).orderBy(F.col("h").isNull().desc(), F.col("n").desc(), "h").limit(heavy + 1).collect()
-    total = next((r["n"] for r in found if r["h"] is None), 0) or 0
-    return np.sort(np.array([r["h"] for r in found if r["h"] is not None and r["n"] * heavy >= total], np.int64).view(np.uint64))
+            held.append(shingle_sets(batch.column("text"), width)[0])
+            size += len(held[-1])
+            if size > block:
+                hashes, counts = counted()
+                total, size, held = total + size, 0, []
+        hashes, counts = counted()
+        yield pa.RecordBatch.from_arrays([pa.array([None]), pa.array([total + size])], schema=pa.schema([("h", pa.int64()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["h", "n"])
+
+    summed = materialize(bounded_batches(texts.select("text")).mapInArrow(survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("h").isNull() | (F.col("n") >= least)))
+    total = summed.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(least, -(-total // heavy))
+    found = summed.where(F.col("h").isNotNull() & (F.col("n") >= limit)).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64)), limit
 
 
 def prefix_keys(flat: np.ndarray, begin: np.ndarray, wanted: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
@@ -339,9 +357,17 @@ def wide_edges(members: DataFrame, percent: int) -> DataFrame:
     return spread.join(least, ["g", "class"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
+def _once(part: pa.Table, column: str) -> pa.Table:
+    """Rows sorted by column and id without those that repeat both."""
+    group, ids = part.column(column).to_numpy(), part.column("id").to_numpy()
+    same = (group[1:] == group[:-1]) & (ids[1:] == ids[:-1])
+    return part.filter(pa.array(np.append(True, ~same))) if same.any() else part
+
+
 def _comparisons(batches: Iterator[pa.RecordBatch], column: str, percent: int) -> Iterator[pa.RecordBatch]:
     """From (column, id, tokens) sorted by column and id: (id, label), the smallest linked id within the group."""
     for part in _segments(batches, column):
+        part = _once(part, column)
         group, ids = part.column(column).to_numpy(), part.column("id").to_numpy()
         cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() + [len(group)]
         label = np.empty(len(ids), np.int64)
@@ -351,44 +377,38 @@ def _comparisons(batches: Iterator[pa.RecordBatch], column: str, percent: int) -
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], ["id", "label"])
 
 
-def verify_tiles(sets: DataFrame, tiles: DataFrame, percent: int, roots: int) -> DataFrame:
-    """Labels (id, label) within sets of candidates that are too large for one task. sets: (component, id, tokens);
-    tiles: (component, tiles)."""
-    spark = sets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = materialize(sets.join(tiles, "component").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles"))))
-
-    def compare(groups: DataFrame) -> DataFrame:
-        named = groups.select(F.xxhash64("component", "i", "t").alias("g"), "id", "tokens")
-        return named.repartition(parts, "g").sortWithinPartitions("g", "id").mapInArrow(lambda batches: _comparisons(batches, "g", percent), "id long, label long").where("id <> label")
-
+def tiled_edges(items: DataFrame, tiles: DataFrame, compare: Callable[[DataFrame], DataFrame], roots: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked within sets that are too large for one task. items: (component, id, ...),
+    ids once; tiles: (component, tiles); compare: edges (a, b) within the groups g of rows (g, id, ...)."""
+    others = [c for c in items.columns if c not in ("component", "id")]
+    items = materialize(items.join(tiles, "component").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles"))))
+    grouped = lambda df: compare(df.select(F.xxhash64("component", "i", "t").alias("g"), "id", *others))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t")
     none = F.lit(-1).cast("long").alias("i")
     order = Window.partitionBy("component").orderBy(F.xxhash64("id", F.lit(1)), "id")
-    chosen = sets.select("component", "id", "tiles", F.row_number().over(order).alias("r")).where(F.col("r") <= roots).select("component", "id")
-    spread = sets.join(chosen, ["component", "id"], "left_semi").select("component", none, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t"), "id", "tokens")
-    own = sets.join(chosen, ["component", "id"], "left_anti").select("component", none, "t", "id", "tokens")
-    edges = materialize(compare(own.unionByName(spread)).select(F.col("id").alias("a"), F.col("label").alias("b")))
-    settled = components(edges)
-    known = sets.select("component", "id").join(settled.withColumnRenamed("component", "class"), "id", "left").select("component", "id", F.coalesce("class", "id").alias("class"))
+    chosen = items.select("component", "id", F.row_number().over(order).alias("r")).where(F.col("r") <= roots).select("component", "id")
+    spread = items.join(chosen, ["component", "id"], "left_semi").select("component", none, every, "id", *others)
+    own = items.join(chosen, ["component", "id"], "left_anti").select("component", none, "t", "id", *others)
+    edges = materialize(grouped(own.unionByName(spread)))
+    settled = components(edges).withColumnRenamed("component", "class")
+    known = items.select("component", "id").join(settled, "id", "left").select("component", "id", F.coalesce("class", "id").alias("class"))
     main = known.groupBy("component", "class").count().groupBy("component").agg(F.max_by("class", F.struct("count", "class")).alias("class"))
     rest = materialize(known.join(main, ["component", "class"], "left_anti").select("component", "id"))
     if rest.isEmpty():
-        return settled.select("id", F.col("component").alias("label"))
+        return edges
     # members outside the main class: in tiles of their own, each compared with every tile
-    left = sets.join(rest, ["component", "id"], "left_semi").withColumn("i", F.pmod(F.xxhash64("id", F.lit(2)), F.col("tiles")))
-    used = left.select("component", "i").distinct()
-    ahead = left.select("component", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t"), "id", "tokens")
-    met = sets.select("component", "t", "id", "tokens").join(used, "component").select("component", "i", "t", "id", "tokens")
-    again = compare(ahead.unionByName(met).dropDuplicates(["component", "i", "t", "id"]))
-    return components(edges.unionByName(again.select(F.col("id").alias("a"), F.col("label").alias("b")))).select("id", F.col("component").alias("label"))
+    left = materialize(items.join(rest, ["component", "id"], "left_semi").withColumn("i", F.pmod(F.xxhash64("id", F.lit(2)), F.col("tiles"))))
+    ahead = left.select("component", "i", every, "id", *others)
+    met = items.join(left.select("component", "i").distinct(), "component").select("component", "i", "t", "id", *others)
+    return edges.unionByName(grouped(ahead.unionByName(met)))
 
 
-def labelled(docs: DataFrame, percent: int = 75, width: int = 5, hot: int = 1000, heavy: int = 1 << 16, group_tokens: int = 400_000, roots: int = 8, small: int = 300_000) -> DataFrame:
+def labelled(docs: DataFrame, percent: int = 75, width: int = 5, hot: int = 1000, heavy: int = 1 << 20, tile_bytes: int = 4 << 20, group_tokens: int = 400_000, roots: int = 8, small: int = 300_000) -> DataFrame:
     """Rows (doc_id, text_hash, digest, n_shingles, component_id), one for each row of docs; text_hash is xxhash64."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    frequent = frequent_shingles(slim, width, heavy, hot)
+    frequent, limit = frequent_shingles(slim, width, heavy, hot)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
@@ -422,23 +442,38 @@ def labelled(docs: DataFrame, percent: int = 75, width: int = 5, hot: int = 1000
     signed = materialize(slim.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, n long, digest binary, id long, keys array<long>, frequent array<long>, point binary"))
     # keys shared by two points or more
     placed = signed.select(F.explode("keys").alias("key"), "id").repartition(parts, "key").sortWithinPartitions("key", "id")
-    shared = materialize(placed.mapInArrow(lambda batches: shared_keys(batches, hot), "g long, id long, wide boolean"))
+    shared = materialize(placed.mapInArrow(lambda batches: shared_keys(batches, 2 * limit), "g long, id long, wide boolean"))
     points = signed.where("point is not null").select("id", "n", "point").dropDuplicates(["id"])
 
     def join_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for part in _segments(batches, "g"):
+            part = _once(part, "g")
             found = set(_key_edges(part.column("g").to_numpy(), part.column("id").to_numpy(), part.column("n").to_numpy(), part.column("point"), percent, seen))
             if len(seen) > 1_000_000:
                 seen.clear()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    pointed = shared.where("not wide").select("g", "id").distinct().join(points, "id").select("g", "id", "n", "point")
-    edges = pointed.repartition(parts, "g").sortWithinPartitions("g", "id").mapInArrow(join_points, "a long, b long")
+    def grown(groups: DataFrame) -> DataFrame:
+        """Edges by the trees of groups (g, id, n, point)."""
+        return groups.repartition(parts, "g").sortWithinPartitions("g", "id").mapInArrow(join_points, "a long, b long")
+
+    groups = shared.where("not wide").select("g", "id").distinct()
     often = signed.select(F.explode("frequent").alias("g"), "id", "n")
     wide = shared.where("wide").select("g", "id").join(points.select("id", "n"), "id").select("g", "id", "n")
-    candidates = components(edges.unionByName(wide_edges(often.unionByName(wide), percent)))
+    loose = materialize(wide_edges(often.unionByName(wide), percent))
+    edges = None
+    if not loose.isEmpty():
+        loose = components(loose)
+        sized = loose.join(points.select("id", F.octet_length("point").alias("bytes")), "id")
+        counted = materialize(sized.groupBy("component").agg((1 + F.floor(F.sum(F.col("bytes") + 64) / tile_bytes)).cast("long").alias("tiles")))
+        groups = groups.unionByName(loose.join(counted.where("tiles = 1"), "component").select(F.col("component").alias("g"), "id"))
+        large = counted.where("tiles > 1")
+        if not large.isEmpty():
+            edges = tiled_edges(loose.join(large.select("component"), "component", "left_semi").join(points, "id").select("component", "id", "n", "point"), large, grown, roots)
+    by_key = grown(groups.join(points, "id").select("g", "id", "n", "point"))
+    candidates = components(by_key if edges is None else by_key.unionByName(edges))
 
     # exact sets of the candidates, each once
     first = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("id").alias("id"), F.first("n").alias("n"))
@@ -459,11 +494,16 @@ def labelled(docs: DataFrame, percent: int = 75, width: int = 5, hot: int = 1000
     named = F.broadcast(named) if wanted.count() <= small else named.hint("merge")
     texts = slim.join(named, "doc_id").select("component", F.col("doc_id").alias("id"), "digest", "text")
     kind = "component long, id long, tokens binary"
-    usual = texts.join(sizes, "component", "left_anti").mapInArrow(exact, kind)
-    final = usual.repartition(parts, "component").sortWithinPartitions("component", "id").mapInArrow(lambda batches: _comparisons(batches, "component", percent), "id long, label long")
+
+    def verified(groups: DataFrame, column: str) -> DataFrame:
+        """Labels (id, label) within groups (column, id, tokens), without those that label themselves."""
+        return groups.repartition(parts, column).sortWithinPartitions(column, "id").mapInArrow(lambda batches: _comparisons(batches, column, percent), "id long, label long").where("id <> label")
+
+    final = verified(texts.join(sizes, "component", "left_anti").mapInArrow(exact, kind), "component")
     if not sizes.isEmpty():
-        large = texts.join(sizes, "component", "left_semi").mapInArrow(exact, kind).dropDuplicates(["component", "id"])
-        final = final.unionByName(verify_tiles(large, sizes, percent, roots))
+        sets = texts.join(sizes, "component", "left_semi").mapInArrow(exact, kind).repartition(parts, "component", "id").dropDuplicates(["component", "id"])
+        links = tiled_edges(sets, sizes, lambda groups: verified(groups, "g").toDF("a", "b"), roots)
+        final = final.unionByName(components(links).select("id", F.col("component").alias("label")))
     final = final.where("id <> label").distinct()
 
     classes = first.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))

@@ -381,7 +381,7 @@ def test_similar_keys_whole():
         assert len(often[2]) == (26 if len(frequent) else 0) and len(often[4]) == (401 if len(frequent) > 100 else 0)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"group_tokens": 300, "small": 0}, {"hot": 1, "group_tokens": 300, "roots": 1}, {"hot": 3, "heavy": 8}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"group_tokens": 300, "small": 0}, {"hot": 1, "group_tokens": 300, "roots": 1}, {"hot": 3, "heavy": 8}, {"hot": 1, "heavy": 1000, "tile_bytes": 500, "roots": 2}])
 def test_similar(docs, empty, options):
     from strandlog.llm.similar import similar_components
 
