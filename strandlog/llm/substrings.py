@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import Words, gram_hashes, mix, room, slices, split_words, table
+from strandlog.llm.common import Words, bounded_batches, give_back, gram_hashes, mix, room, slices, split_words, table
 
 KEYS = ["__id", "__hash"]
 
@@ -149,7 +149,7 @@ def merge_spans(doc: np.ndarray, hashed: np.ndarray, start: np.ndarray, end: np.
         yield int(doc[at[a]]), int(hashed[at[a]]), pairs[a:b].tobytes()
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, m: int = 5, bucket_bytes: int = 8 << 20, heavy: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, m: int = 3, bucket_bytes: int = 4 << 20, heavy: int = 2000) -> DataFrame:
     """docs: __id, __hash, text. Rows (__id, __hash, spans): spans of words, int32 pairs, that repeat an earlier window."""
     none = np.zeros(0, np.uint64)
 
@@ -169,14 +169,14 @@ def repeated_spans(docs: DataFrame, window: int = 20, m: int = 5, bucket_bytes:
         top = [(k, n) for k, n in seen.items() if n >= max(8, total // heavy)]
         yield pa.RecordBatch.from_arrays([pa.array([None, *[k for k, _ in top]], pa.int64()), pa.array([total, *[n for _, n in top]], pa.int64()), pa.array([size, *[0] * len(top)], pa.int64())], ["k", "n", "size"])
 
-    counted = docs.select("text").mapInArrow(survey, "k long, n long, size long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    counted = bounded_batches(docs.select("text")).mapInArrow(survey, "k long, n long, size long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     found = counted.orderBy(F.col("k").isNull().desc(), F.col("n").desc(), "k").limit(heavy + 1).collect()
     total, size = (found[0]["n"] or 0, found[0]["size"] or 0) if found else (0, 0)
     hot = np.array(sorted(r["k"] for r in found[1:] if r["n"] * heavy >= total), np.uint64)
     buckets = max(16, (window + 10) // 10 * size // bucket_bytes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
         seen: dict[bytes, tuple[int, int, int]] = {}
         home: dict[bytes, int] = {}
         known: dict[int, list] = {}
@@ -223,6 +223,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, m: int = 5, bucket_bytes:
         cols = np.concatenate([c for c, _, _ in unpacked], 1)
         known = np.concatenate([k for _, k, _ in unpacked], 1)
         doc, hashed, start = repeats_in_bucket(cols, b"".join([s for *_, s in unpacked]), window)
+        del unpacked
+        give_back()
         rows = list(merge_spans(*[np.concatenate(x) for x in ((doc, known[0]), (hashed, known[1]), (start, known[2]), (start + window, known[3]))]))
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[*KEYS, "spans"])
 
