@@ -152,6 +152,16 @@ def latest_embeddings(embeddings: DataFrame, model: str | None = None) -> DataFr
     return found.groupBy("line_hash").agg(F.max_by("embedding", "seq").alias("embedding"))
 
 
+def lookup_embedding(embeddings: DataFrame, line_hash: str, model: str) -> DataFrame:
+    """The last embedding of one line by one model; no row if there is none."""
+    return latest_embeddings(embeddings.where(F.col("line_hash") == line_hash), model)
+
+
+def embedding_counts(embeddings: DataFrame) -> DataFrame:
+    """Rows (model, embeddings): lines that have one, each once."""
+    return embeddings.where("line_hash is not null and embedding is not null").select("model", "line_hash").distinct().groupBy("model").agg(F.count("*").alias("embeddings"))
+
+
 def query_log(log: DataFrame, op: str | None = None, since: str | None = None) -> DataFrame:
     """Newest first; times compare as strings."""
     if op is not None:
@@ -185,6 +195,11 @@ def routing_index(authors: DataFrame, sections: DataFrame, records: DataFrame) -
     return by_author.select("id", F.lit("author").alias("kind"), "refs").unionByName(by_section.select("id", F.lit("section").alias("kind"), "refs"))
 
 
+def lookup_refs(index: DataFrame, id: str) -> DataFrame:
+    """Buckets (kind, refs) of an author or section; no row if the index does not have it."""
+    return index.where(F.col("id") == id).select("kind", "refs")
+
+
 def index_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count_if(F.col("kind") == "author").alias("authors"), F.count_if(F.col("kind") == "section").alias("sections"))
 

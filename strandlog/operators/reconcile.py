@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.errors import InvalidRecord
 from strandlog.operators.provenance import is_revoked
 
 
@@ -90,17 +91,38 @@ def encode_lines(lines: DataFrame, encode: Callable[[list[str]], list[list[float
     return lines.mapInPandas(work, f"{schema}, embedding array<double>")
 
 
-def http_encoder(url: str, model: str, timeout: float = 60.0) -> Callable[[list[str]], list[list[float]]]:
-    """An encoder that asks a service with an OpenAI-compatible /embeddings route."""
+def lines_to_embed(lines: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
+    """lines (line_no, line_hash, line): one for each content that the model has no embedding of, the first one."""
+    done = embeddings.where((F.col("model") == model) & F.col("embedding").isNotNull()).select("line_hash")
+    rest = lines.join(done, "line_hash", "left_anti")
+    return rest.groupBy("line_hash").agg(F.min(F.struct("line_no", "line")).alias("r")).select("r.line_no", "line_hash", "r.line")
+
+
+def http_encoder(url: str, model: str, timeout: float = 60.0, tries: int = 3, pause: float = 1.0) -> Callable[[list[str]], list[list[float]]]:
+    """An encoder that asks a service with an OpenAI-compatible /embeddings route. A request that fails on the way, or
+    by the service's own fault (status 429 or 5xx), is sent again after a pause that doubles; an answer that does not
+    hold one vector for each text is an InvalidRecord."""
 
     def encode(texts: list[str]) -> list[list[float]]:
         import json
+        import time
+        import urllib.error
         import urllib.request
 
         body = json.dumps({"model": model, "input": texts}).encode()
         ask = urllib.request.Request(url.rstrip("/") + "/embeddings", body, {"Content-Type": "application/json"})
-        with urllib.request.urlopen(ask, timeout=timeout) as answer:
-            found = json.load(answer)["data"]
+        for n in range(tries):
+            try:
+                with urllib.request.urlopen(ask, timeout=timeout) as answer:
+                    found = json.load(answer)["data"]
+                break
+            except urllib.error.URLError as failed:
+                status = getattr(failed, "code", 500)
+                if n + 1 == tries or not (status == 429 or status >= 500):
+                    raise
+                time.sleep(pause * 2**n)
+        if sorted(x["index"] for x in found) != list(range(len(texts))):
+            raise InvalidRecord(f"{len(found)} vectors for {len(texts)} texts")
         return [x["embedding"] for x in sorted(found, key=lambda x: x["index"])]
 
     return encode

@@ -19,6 +19,24 @@ from strandlog.functions.similarity import character_jaccard, characters
 MOST_CELLS = 1 << 24
 
 
+#: A source text with what is known of where it comes from.
+SOURCE_RECORD = "text string, title string, authors array<string>, year string, license string, section_hash string"
+
+
+def source_records(sections: DataFrame, texts: DataFrame) -> DataFrame:
+    """sections: the ledger's; texts: (path, text). Rows of SOURCE_RECORD with text_hash, one for each section of a
+    text's path; the title is what follows ``raw/``. Texts without a section stay, without provenance."""
+    known = sections.select("path", "authors", "year", "license", "section_hash")
+    joined = texts.select("path", "text").join(known, "path", "left")
+    title = F.regexp_replace("path", "^raw/", "")
+    return joined.select("text", title.alias("title"), "authors", "year", "license", "section_hash", F.sha2("text", 256).alias("text_hash"))
+
+
+def precision_recall(sweep: DataFrame) -> DataFrame:
+    """Points (recall, precision, threshold) of the curve, from a threshold_sweep: by recall, then falling precision."""
+    return sweep.select("recall", "precision", "threshold").orderBy("recall", F.col("precision").desc(), "threshold")
+
+
 def source_index(sources: DataFrame) -> DataFrame:
     """sources: (seq, text, ...). One row for each text hash, the last one."""
     hashed = sources.withColumn("text_hash", F.sha2("text", 256))

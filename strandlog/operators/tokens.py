@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.errors import NotFound
 from strandlog.operators.provenance import is_revoked
 
 
@@ -75,13 +76,34 @@ def write_removal_set(removal: DataFrame, path: str) -> int:
     return written
 
 
-def number_appended(entries: DataFrame, first: Column | int, order: list[str]) -> DataFrame:
+def entry_at(tokens: DataFrame, tokenizer: str, pos: int) -> DataFrame:
+    """The entry at a position: no row beyond the last one; NotFound for a negative position."""
+    if pos < 0:
+        raise NotFound(f"position {pos}")
+    return tokens.where((F.col("tokenizer") == tokenizer) & (F.col("pos") == pos))
+
+
+def write_source_index(tokens: DataFrame, path: str, files: int = 64) -> None:
+    """The inverted index as a table clustered by source: each source's positions lie in one range of files (more than
+    one if there are many), so that a lookup reads the row groups whose bounds hold its hash."""
+    source_positions(tokens).repartitionByRange(files, "source_hash", "pos").sortWithinPartitions("source_hash", "pos").write.mode("overwrite").parquet(path)
+
+
+def lookup_source(index: DataFrame, tokenizer: str, source_hash: str) -> DataFrame:
+    """Positions of one source, from the index."""
+    return index.where((F.col("source_hash") == source_hash) & (F.col("tokenizer") == tokenizer)).select("pos")
+
+
+def number_appended(entries: DataFrame, first: Column | int, order: list[str], aside: str) -> DataFrame:
     """entries with pos from first on, in the given order. Numbers are dealt in two passes (rows of each range
-    partition, then places within it), so that a large batch is not sorted in one task."""
+    partition, then places within it), so that a large batch is not sorted in one task. The bounds of the ranges are
+    sampled: the ranges are written to the folder aside once, and both passes read them there."""
     parted = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    parted.write.mode("overwrite").parquet(aside)
+    parted = entries.sparkSession.read.parquet(aside)
     sizes = parted.groupBy("__p").count()
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     base = sizes.select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
     place = F.col("__m").bitwiseAND((1 << 33) - 1)
     start = first if isinstance(first, Column) else F.lit(first)
-    return parted.withColumn("__at", place).join(F.broadcast(base), "__p").withColumn("pos", (start + F.col("__base") + F.col("__at")).cast("long")).drop("__p", "__m", "__at", "__base")
+    return parted.withColumn("__at", place).join(base, "__p").withColumn("pos", (start + F.col("__base") + F.col("__at")).cast("long")).drop("__p", "__m", "__at", "__base")
