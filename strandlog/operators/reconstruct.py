@@ -23,13 +23,13 @@ MOST_CELLS = 1 << 24
 SOURCE_RECORD = "text string, title string, authors array<string>, year string, license string, section_hash string"
 
 
-def source_records(sections: DataFrame, texts: DataFrame) -> DataFrame:
-    """sections: the ledger's; texts: (path, text). Rows of SOURCE_RECORD with text_hash, one for each section of a
-    text's path; the title is what follows ``raw/``. Texts without a section stay, without provenance."""
+def source_records(sections: DataFrame, texts: DataFrame, *keep: str) -> DataFrame:
+    """sections: the ledger's; texts: (path, text, and what to keep). Rows of SOURCE_RECORD with text_hash, one for each
+    section of a text's path; the title is what follows ``raw/``. Texts without a section stay, without provenance."""
     known = sections.select("path", "authors", "year", "license", "section_hash")
-    joined = texts.select("path", "text").join(known, "path", "left")
+    joined = texts.select("path", "text", *keep).join(known, "path", "left")
     title = F.regexp_replace("path", "^raw/", "")
-    return joined.select("text", title.alias("title"), "authors", "year", "license", "section_hash", F.sha2("text", 256).alias("text_hash"))
+    return joined.select("text", title.alias("title"), "authors", "year", "license", "section_hash", F.sha2("text", 256).alias("text_hash"), *keep)
 
 
 def precision_recall(sweep: DataFrame) -> DataFrame:

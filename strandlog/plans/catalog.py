@@ -316,6 +316,41 @@ def embeddings_latest(v: Views) -> DataFrame:
     return latest.join(seqs, "line_hash").select("line_hash", "seq", F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
+@_query("SELECT vec_id // 3 AS id, arg_max(round(CAST(embedding[1] AS DOUBLE), 6), vec_id) AS first FROM embeddings WHERE vec_id // 3 = 21 GROUP BY 1", prelude=False)
+def embedding_lookup(v: Views) -> DataFrame:
+    return provenance.lookup_embedding(v.embeddings(), "21", "m").select(F.col("line_hash").cast("long").alias("id"), F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@_query("SELECT 'm' AS model, count(DISTINCT vec_id // 3) AS embeddings FROM embeddings", prelude=False)
+def embeddings_by_model(v: Views) -> DataFrame:
+    return provenance.embedding_counts(v.embeddings())
+
+
+@_query("SELECT pos, token_count, source_hash FROM tokens WHERE pos = 100")
+def token_entry_at(v: Views) -> DataFrame:
+    return tokens.entry_at(v.tokens(), "ws", 100).select("pos", "token_count", F.element_at("sources", 1).alias("source_hash"))
+
+
+@_query("SELECT 'section' AS kind, string_agg(b, ',' ORDER BY b) AS refs FROM (SELECT DISTINCT substr(line_hash, 1, 2) AS b FROM edges JOIN records USING (row_id) WHERE section_hash = (SELECT h FROM extra)) HAVING count(*) > 0")
+def index_lookup(v: Views) -> DataFrame:
+    id = v.sections().where("path = 'raw/src2/en.txt'").first()["section_hash"]
+    return provenance.lookup_refs(provenance.routing_index(v.authors(), v.sections(), v.records()), id).select("kind", F.concat_ws(",", "refs").alias("refs"))
+
+
+@_query("SELECT min(row_id) AS line_no, any_value(line_hash) AS line_hash FROM records WHERE line_hash NOT IN (SELECT line_hash FROM records WHERE row_id % 3 = 0) GROUP BY records.line_hash")
+def lines_not_embedded(v: Views) -> DataFrame:
+    data = v.records(text=True).select(F.col("row_id").alias("line_no"), "line_hash", F.col("text").alias("line"))
+    done = data.where("line_no % 3 = 0").select("line_hash", F.array(F.lit(1.0)).alias("embedding"), F.lit("m").alias("model"))
+    return reconcile.lines_to_embed(data, done, "m").select("line_no", "line_hash")
+
+
+@_query("SELECT d.doc_id, s.section_hash, s.license, s.source || '/' || s.lang || '.txt' AS title, sha256(d.text) AS text_hash FROM documents d JOIN sections s ON d.source = s.source AND d.lang = s.lang")
+def source_records(v: Views) -> DataFrame:
+    texts = v.table("documents").select(v._path(F.col("source"), F.col("lang")).alias("path"), "text", "doc_id")
+    found = reconstruct.source_records(v.sections(), texts, "doc_id")
+    return found.select("doc_id", "section_hash", "license", "title", "text_hash")
+
+
 @_query("SELECT string_agg(section_hash, ',' ORDER BY f, section_hash) AS sources FROM (SELECT section_hash, min(row_id) AS f FROM edges GROUP BY 1)")
 def chain_sources(v: Views) -> DataFrame:
     # a document's two sources have different first places, except where its own section is the second one too

@@ -59,11 +59,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, keep_b
 
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One row (lines, malformed): what read_json_lines leaves out of a path."""
-    found = read_json_lines(spark, path, schema, keep_bad=True)
-    if "_corrupt_record" not in found.columns:
-        return spark.createDataFrame([(0, 0)], "lines long, malformed long")
-    # the reader does not parse for the corrupt column alone, so a field is read beside it
-    return found.select(schema.names[0], "_corrupt_record").agg(F.count(F.struct("*")).alias("lines"), F.count("_corrupt_record").alias("malformed"))
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    found = read_text_lines(spark, path).where(F.length(F.trim("line")) > 0).select(parsed["_corrupt_record"].alias("bad"))
+    return found.agg(F.count("*").alias("lines"), F.count("bad").alias("malformed"))
 
 
 def read_layer(spark: SparkSession, path: str, schema: T.StructType, all_files: bool = False) -> DataFrame:

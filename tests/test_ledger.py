@@ -261,3 +261,156 @@ def test_markup_in_the_jvm(spark):
     texts = ["=<b>=x", "\u3000 ''b'' [[x|y]] {{t}}\r {{u\rv}} <ref>r</ref>* y \x1c\n", "{|a|-b|--}", "<br/>[[[z]]] ]]", "== H ==\n# one\n;: d", ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(wiki.strip_markup_column(F.col("t"))).collect()]
     assert got == [wiki.strip_markup(t) for t in texts] and got[0] == "==x"
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    want = []
+    for name in ("a.txt", "b.txt"):
+        own = [f"{name} {i} " + "x" * (i % 50) if i % 7 else "" for i in range(3000)]
+        (folder / name).write_text("\n".join(own) + "\n")
+        want += own
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = lines.numbered_lines(spark, str(folder))
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+        assert {r["line_no"]: r["line"] for r in rows.collect()} == {i + 1: x for i, x in enumerate(want) if x}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_batch_is_merged_once(spark, ledger, tmp_path):
+    ledger.add_author("Ann", "ann@x")
+    s = ledger.register_section("raw/1", ["Ann"], "MIT", "2024")
+    data = spark.createDataFrame([("a", 1), ("b", 2)], "text string, n long")
+    track = lambda df, batch: ledger.track(df, "s.jsonl", [s], text_column="text", token_count="n", tokenizer="g", batch=batch)
+    for batch in ("stream-000000000004", "mine"):
+        for _ in range(2):  # the second time after the first was compacted
+            track(data, batch)
+            ledger.compact()
+    track(data, "stream-000000000003")
+    assert ledger.staged() == []
+    assert sorted(r["pos"] for r in ledger.table("tokens").collect()) == [0, 1, 2, 3]
+    assert ledger.table("documents").count() == 2
+    # a failure after the rows were published and before their folder was deleted
+    import shutil
+
+    track(data, None)
+    held = ledger.staged("tokens")[0]
+    shutil.copytree(held, tmp_path / "held")
+    ledger.compact()
+    assert ledger.table("tokens").count() == 6
+    shutil.copytree(tmp_path / "held", held)
+    assert ledger.staged("tokens") == []
+    ledger.compact()
+    assert ledger.table("tokens").count() == 6
+
+
+def test_appends_write_their_own_rows(spark, ledger):
+    from strandlog import ledger as module
+
+    row = lambda i: spark.createDataFrame([(i, "line", "k", None, None, "revoke")], "seq long, level string, key string, file string, tokenizer string, action string")
+    ledger.append("events", row(0))
+    first = ledger._manifest("events")["parts"]
+    ledger.append("events", row(1))
+    assert ledger._manifest("events")["parts"][:1] == first  # untouched
+    ledger.append("events", row(2).where("false"))
+    assert len(ledger._manifest("events")["parts"]) == 2
+    for i in range(2, module.FAN + 2):
+        ledger.append("events", row(i))
+    assert len(ledger._manifest("events")["parts"]) < module.FAN
+    assert sorted(r["seq"] for r in ledger.table("events").collect()) == list(range(module.FAN + 2))
+
+
+def test_purge_in_place(spark, ledger, tmp_path):
+    ledger.add_author("Ann", "ann@x")
+    s = ledger.register_section("raw/1", ["Ann"], "MIT", "2024")
+    ledger.track(spark.createDataFrame([("drop",)], "text string"), "d.txt", [s], text_column="text")
+    ledger.compact()
+    ledger.revoke(section=s)
+    file, folder = tmp_path / "d.txt", tmp_path / "d"
+    file.write_text("b\ndrop\na\n")
+    folder.mkdir()
+    (folder / "part-0").write_text("z\ndrop\n")
+    (folder / "part-1").write_text("drop\ny\n")
+    assert ledger.purge(str(file), dry_run=True) == {"purged": 1, "kept": 2, "archived": 0}
+    assert ledger.purge(str(file)) == {"purged": 1, "kept": 2, "archived": 1}
+    assert file.read_text() == "b\na\n"
+    assert ledger.purge(str(file)) == {"purged": 0, "kept": 2, "archived": 0} and file.read_text() == "b\na\n"
+    assert ledger.purge(str(folder)) == {"purged": 2, "kept": 2, "archived": 2}
+    assert [r["line"] for r in lines.numbered_lines(spark, str(folder)).orderBy("line_no").collect()] == ["z", "y"]
+    assert not [p for p in tmp_path.iterdir() if ".kept-" in p.name or p.name.endswith(".before")]
+    out = str(tmp_path / "back")
+    assert ledger.purge_reverse(str(file), str(file), out) == 1
+    assert [r["line"] for r in lines.numbered_lines(spark, out).orderBy("line_no").collect()] == ["b", "a", "drop"]
+
+
+def test_lookups_and_embedding(spark, ledger, tmp_path):
+    from strandlog.errors import NotFound
+
+    ledger.add_author("Ann", "ann@x")
+    s = ledger.register_section("raw/1", ["Ann"], "MIT", "2024")
+    data = spark.createDataFrame([("one", 3, [1.0, 0.0]), ("two", 5, [0.0, 1.0])], "text string, n long, e array<double>")
+    ledger.track(data.limit(1), "f.txt", [s], text_column="text", token_count="n", tokenizer="g", embedding="e", model="m")
+    with pytest.raises(StagedData):
+        ledger.embedding(hashing.hash_value("one"), "m")
+    ledger.compact()
+    assert ledger.embedding(hashing.hash_value("one"), "m") == [1.0, 0.0]
+    with pytest.raises(NotFound):
+        ledger.embedding(hashing.hash_value("one"), "other")
+    assert ledger.token_entry("g", 0)["token_count"] == 3
+    for bad in (1, -1):
+        with pytest.raises(NotFound):
+            ledger.token_entry("g", bad)
+    file = tmp_path / "f.txt"
+    file.write_text("one\ntwo\n\ntwo\n")
+    assert ledger.embed(str(file), lambda texts: [[0.5] for _ in texts], "m") == 1
+    assert ledger.embed(str(file), lambda texts: [[0.5] for _ in texts], "m") == 0
+    assert {r["model"]: r["embeddings"] for r in ledger.embedding_counts().collect()} == {"m": 2}
+    ledger.build_index()
+    assert [r["pos"] for r in ledger.source_positions("g", s).collect()] == [0]
+    assert ledger.lookup(s).first()["refs"] == [hashing.hash_value("one")[:2]] and ledger.lookup("none").count() == 0
+
+
+def test_source_records_and_counts(spark, tmp_path):
+    sections = spark.createDataFrame([("h", "raw/A", ["id"], "MIT", "2024")], "section_hash string, path string, authors array<string>, license string, year string")
+    found = {r["title"]: r for r in reconstruct.source_records(sections, spark.createDataFrame([("raw/A", "x"), ("raw/B", "y")], "path string, text string")).collect()}
+    assert found["A"]["section_hash"] == "h" and found["B"]["license"] is None and found["A"]["text_hash"] == hashlib.sha256(b"x").hexdigest()
+    sweep = reconstruct.threshold_sweep(spark.createDataFrame([(0.9, True, True), (0.4, False, True)], "confidence double, correct boolean, has_truth boolean"), [0.3, 0.8])
+    assert [(r["recall"], r["precision"]) for r in reconstruct.precision_recall(sweep).collect()] == [(0.5, 1.0), (1.0, 0.5)]
+    file = tmp_path / "x.jsonl"
+    file.write_text('{"id": "1"}\n{broken\n')
+    from strandlog import schemas
+
+    assert tuple(lines.bad_lines(spark, str(file), schemas.AUTHORS).first()) == (2, 1)
+    assert tuple(lines.bad_lines(spark, str(tmp_path / "none"), schemas.AUTHORS).first()) == (0, 0)
+    dump = tmp_path / "dump.xml"
+    dump.write_text(WIKI)
+    pages = wiki.parse(spark, "mediawiki", str(dump))
+    assert wiki.parse_counts(*wiki.registered(pages, "CC"), pages).first().asDict() == {"pages": 2, "authors": 2, "sections": 2}
+
+
+def test_http_encoder_retries_and_checks(monkeypatch):
+    import io
+    import urllib.error
+    import urllib.request
+
+    answers = [urllib.error.HTTPError("u", 503, "busy", {}, None), {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}, {"data": [{"index": 0, "embedding": [1.0]}]}, urllib.error.HTTPError("u", 404, "none", {}, None)]
+
+    def answer(*_, **__):
+        one = answers.pop(0)
+        if isinstance(one, Exception):
+            raise one
+        return io.BytesIO(json.dumps(one).encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    encode = reconcile.http_encoder("http://x", "m", pause=0)
+    assert encode(["a", "b"]) == [[1.0], [2.0]]
+    with pytest.raises(InvalidRecord):
+        encode(["a", "b"])
+    with pytest.raises(urllib.error.HTTPError):
+        encode(["a"])
