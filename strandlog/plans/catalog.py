@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +12,11 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import similarity
 from strandlog.functions.hashing import line_hash_column, object_hash_column, safe_filename_column, struct_hash, url_encode_column
+from strandlog.ledger import Ledger
 from strandlog.operators import merge, provenance, reconcile, reconstruct, revocation, tokens
 from strandlog.plans.derived import PRELUDE, Views
 from strandlog.sources import wiki
+from strandlog.sources.lines import numbered_lines
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -516,7 +521,68 @@ def url_names(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", url_encode_column(F.col("url")).alias("encoded"), safe_filename_column(F.col("url"), 10_000).alias("file_name"))
 
 
-# ---------------------------------------------------------------- procedural, rows only
+# ---------------------------------------------------------------- the life of a ledger
+
+_LIFE = """WITH d AS (SELECT doc_id, source, len(string_split(text, ' ')) AS n FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')),
+  one AS (SELECT min(doc_id) AS doc_id FROM d WHERE source = 'src2'), lines AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM one) AS revoked FROM d)
+  SELECT 'active' AS step, doc_id FROM lines WHERE source = 'src2' AND NOT revoked
+  UNION ALL SELECT 'revoked', doc_id FROM lines WHERE source = 'src1' OR revoked
+  UNION ALL SELECT 'kept', doc_id FROM lines WHERE source = 'src2' AND NOT revoked
+  UNION ALL SELECT 'purged', doc_id FROM lines WHERE source = 'src1' OR revoked
+  UNION ALL SELECT 'restored', doc_id FROM lines WHERE NOT revoked
+  UNION ALL SELECT 'removed', count(*) FROM d WHERE source = 'src1'
+  UNION ALL SELECT 'tokens', CAST(sum(n) AS BIGINT) FROM d HAVING count(*) > 0"""
+
+
+@_query(_LIFE, prelude=False)
+def ledger_life(v: Views) -> DataFrame:
+    """A ledger from its making on: two sections are tracked, one of them and a line of the other revoked, the data file
+    purged in place, the section restored, an author's token entries marked for removal. Rows (step, doc_id); the last
+    two steps carry a count."""
+    spark, where = v.spark, _folder(v.spark)
+    ledger = Ledger.init(spark, f"{where}/ledger")
+    data = v.table("documents").where("lang = 'en' AND source IN ('src1', 'src2')").select("doc_id", "source", "text", F.size(F.split("text", " ")).cast("long").alias("n"))
+    made = {}
+    for name in ("src1", "src2"):
+        ledger.add_author(name, f"{name}@example.com")
+        made[name] = ledger.register_section(f"raw/{name}", [name], "MIT", "2024")
+        with ledger.source(f"raw/{name}"):
+            ledger.track(data.where(F.col("source") == name).select("doc_id", "text", "n"), "data.jsonl", token_count="n", tokenizer="ws", batch=name)
+    ledger.compact()
+    hashed = data.select("doc_id", "source", object_hash_column([data.schema[c] for c in ("doc_id", "text")]).alias("line_hash"))
+    line = hashed.where("source = 'src2'").orderBy("doc_id").first()
+    file = f"{where}/data.jsonl"
+    data.select("doc_id", "text").write.json(file)
+    ledger.revoke(section=made["src1"])
+    if line is not None:
+        ledger.revoke(line_hash=line["line_hash"], file="data.jsonl")
+    step = lambda name, df: df.select(F.lit(name).alias("step"), "doc_id")
+    shown = lambda **how: hashed.join(ledger.show(**how).select("line_hash"), "line_hash", "left_semi")
+    saved = lambda df, name: (df.write.parquet(f"{where}/{name}"), spark.read.parquet(f"{where}/{name}"))[1]
+    active, revoked = saved(shown(), "active"), saved(shown(revoked=True), "revoked")
+    ledger.purge(file)
+    numbers = lambda df: df.select(F.get_json_object("line", "$.doc_id").cast("long").alias("doc_id"))
+    purged = numbers(ledger.table("archive").where(F.col("layer").startswith("purge:")).select(F.get_json_object("record", "$.line").alias("line")))
+    ledger.revoke(section=made["src1"], restore=True)
+    ledger.revoke(author="src1", tokenizer="ws")
+    removed = tokens.popcount(ledger.removal_set("ws")).select(F.col("revoked").alias("doc_id"))
+    counted = ledger.token_show("ws", author="src1", revoked=True).unionByName(ledger.token_show("ws", author="src2")).agg(F.sum("token_count").alias("doc_id")).where("doc_id is not null")
+    steps = {"active": active, "revoked": revoked, "kept": numbers(numbered_lines(spark, file)), "purged": purged, "restored": shown(), "removed": removed, "tokens": counted}
+    found = [step(name, df) for name, df in steps.items()]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; under a local master without a checkpoint folder, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="strandlog-")
+    return f"{root}/life-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- procedural
 
 
 def _turns(v: Views) -> DataFrame:
@@ -525,12 +591,32 @@ def _turns(v: Views) -> DataFrame:
     return c.select(F.col("conv_id").alias("page"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), F.col("role").alias("contributor"), grown.alias("text"), F.lit(None).cast("string").alias("sha1"))
 
 
-@_query()
+_BLAME = """WITH t AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS ls, lead(role) OVER w AS next_role, lag(string_split(text, chr(10))[-1]) OVER w AS before, string_split(text, chr(10))[-1] AS own
+     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+   runs AS (SELECT *, sum(CASE WHEN before = own THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t),
+   firsts AS (SELECT *, first_value(role) OVER (PARTITION BY conv_id, run ORDER BY turn) AS run_role FROM runs),
+   flat AS (SELECT *, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM firsts)
+   SELECT conv_id AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS line_no, line,
+     CASE WHEN i < len(ls) THEN role WHEN next_role IS NOT NULL THEN next_role ELSE run_role END AS contributor FROM flat"""
+
+
+@_query(_BLAME, prelude=False)
 def blame_revisions(v: Views) -> DataFrame:
     return wiki.blame_revisions(_turns(v))
 
 
-@_query()
+_SPLIT = (
+    r"""WITH t AS (SELECT doc_id, source, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, regexp_extract(text, '^\s*') AS lead FROM documents),
+   n AS (SELECT *, len(string_split(text, chr(10))) - 1 AS nl, len(string_split(s, chr(10))) - 1 AS ns, len(string_split(lead, chr(10))) - 1 AS nlead FROM t),
+   p AS (SELECT doc_id, source, '[INTRO]' AS heading, nlead AS start_line, nlead + ns + 1 AS end_line, s AS raw FROM n WHERE length(s) >= LEAST
+     UNION ALL SELECT doc_id, source, 'Part', nl + nlead + 2, nl + nlead + 2 + ns + 1, s FROM n WHERE length(s) >= LEAST
+     UNION ALL SELECT doc_id, source, '[INTRO]+Part', nlead, nl + nlead + 2 + ns + 1, s || chr(10) || s FROM n WHERE length(s) < LEAST AND s <> '')
+   SELECT 'd' || doc_id AS page_title, heading, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, source AS authors,
+     CAST(length(regexp_replace(regexp_replace(regexp_replace(raw, 'MARKUP', '', 'g'), '[\[\]]{2}', '', 'g'), '^\s+|\s+$', '', 'g')) AS INTEGER) AS n_chars FROM p"""
+).replace("LEAST", str(wiki.LEAST_SECTION)).replace("MARKUP", wiki.MARKUP.replace("'", "''"))
+
+
+@_query(_SPLIT, prelude=False)
 def split_sections(v: Views) -> DataFrame:
     whole = v.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("title"), F.array(F.struct(F.lit("2024-01-01").alias("timestamp"), F.lit("").alias("sha1"), F.col("source").alias("contributor"), F.lit(False).alias("anonymous"), F.concat("text", F.lit("\n== Part ==\n"), "text").alias("text"))).alias("revisions"))
     return wiki.page_sections(whole, blame=True).select("page_title", "heading", "start_line", "end_line", F.length("text").alias("n_chars"), F.concat_ws(",", "authors").alias("authors"))
