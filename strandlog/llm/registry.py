@@ -10,7 +10,7 @@ from strandlog.llm.repetition import op4_repetition_suffix
 from strandlog.llm.similar import OP9_SQL, op9_similar_rtree
 from strandlog.llm.toxicity import op3_toxicity_channel
 from strandlog.llm.topk import OP1_SQL, op1_topk_histogram
-from strandlog.llm.substrings import op2_substring_superkmer
+from strandlog.llm.substrings import OP2_SQL, op2_substring_superkmer
 from strandlog.llm.sharding import op5_shard_histogram_sort
 
 
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_histogram": OP1_SQL, "op9_similar_rtree": OP9_SQL}
+    return {"op1_topk_histogram": OP1_SQL, "op2_substring_superkmer": OP2_SQL, "op9_similar_rtree": OP9_SQL}
