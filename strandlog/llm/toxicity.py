@@ -11,9 +11,11 @@ Three or more single characters parted by blanks of any kind and number are one
 the end of a word. Its best paths at several prices of a word's end (0, less, more, and all joined) are its readings: the
 model alone may take a frequent one-letter word out of a longer word. The reading with the highest word scores counts.
 
-The character model is counted over all documents (words by task, then trigrams, summed by Spark). Words are scored by
+The character model is counted over all documents (trigrams by task, summed by Spark). Words are scored by
 the log-odds of their document frequencies, of themselves and of their first 4 to 6 letters, in toxic and clean labelled
 documents; a logistic model of a document's three highest word scores, fitted on leave-one-out scores with weights of 0 or more, gives its score.
+A token's score cannot pass that of the features its unchanged first letters allow. Tokens are restored in the order of these
+bounds, until no bound passes the third score: the three highest are those of restoring all.
 
 Bounds: labels are learned from at most ``most_toxic`` + ``most_clean`` labelled rows (drawn by a hash of doc_id). What
 these rows teach is sent whole, as are the trigrams, which grow with the distinct ones of the documents.
@@ -29,7 +31,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,89 @@ NUMBER = re.compile(r"[\d.,:;/()+\-*%$€£°#=<>|~^ ]*")
 LETTERS = re.compile(r"[^\W\d_]")
 RUNS = re.compile(r"(.)\1*", re.S)
 DOUBLED = re.compile(r"(.)\1+", re.S)
+BLANK = re.compile(r"\s")
+BLANK_KIND, LETTER_KIND, EDGE_KIND, OPEN_KIND, CLOSE_KIND = 1, 2, 4, 8, 16
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """For each code point: whether it is a blank, a letter, of EDGE, or may stand before or after spaced characters."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(len(every), np.uint8)
+    for pattern, bit in ((BLANK, BLANK_KIND), (LETTERS, LETTER_KIND), *((re.compile(f"[{re.escape(x)}]"), bit) for x, bit in ((EDGE, EDGE_KIND), ("\"'([{«“‘¿¡", OPEN_KIND), (".,;:!?\"')]}»”’…", CLOSE_KIND)))):
+        for m in re.finditer(f"(?:{pattern.pattern})+", every):
+            out[m.start() : m.end()] |= bit
+    return out
+
+
+def ranged(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How often mask holds in each range (0 for empty ones)."""
+    total = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=total[1:])
+    return np.where(end > start, total[end] - total[np.minimum(start, len(mask))], 0)
+
+
+@dataclass
+class Tokens:
+    """Tokens of lower-case texts. text: the texts, each between two line ends; codes, kind: its code points and their kinds;
+    start, end: each token; low, high: the same without EDGE (low = high: nothing is left); again: whether a code point
+    repeats the one before it; letters: tokens of letters only; single: those of which none is doubled."""
+
+    text: str
+    codes: np.ndarray
+    kind: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    again: np.ndarray
+    letters: np.ndarray
+    single: np.ndarray
+
+    @classmethod
+    def of(cls, lows: list[str]) -> Tokens:
+        text = "\n".join(["", *lows, ""])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = kinds()[codes]
+        blank = (kind & BLANK_KIND) != 0
+        flips = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        start, end = flips[::2], flips[1::2]
+        inner = (kind & (BLANK_KIND | EDGE_KIND)) == 0
+        solid = np.append(np.flatnonzero(inner), 0)
+        before = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(inner, out=before[1:])
+        first, last = before[start], before[end]
+        some = last > first
+        low, high = np.where(some, solid[first], start), np.where(some, solid[last - 1] + 1, start)
+        again = np.zeros(len(codes), bool)
+        again[1:] = codes[1:] == codes[:-1]
+        letters = some & (ranged((kind & LETTER_KIND) == 0, low, high) == 0)
+        return cls(text, codes, kind, start, end, low, high, again, letters, letters & (ranged(again, low + 1, high) == 0))
+
+
+def pieces(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Lower-case texts, some at a time, with the index of the first. A text that is longer than ``limit`` comes alone, cut at
+    blanks; all its pieces have its index."""
+    held: list[str] = []
+    size = at = 0
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        if held and size + len(low) > limit:
+            yield at, held
+            held, size, at = [], 0, i
+        if len(low) <= limit:
+            held.append(low)
+            size += len(low)
+            continue
+        begin = 0
+        while begin < len(low):
+            cut = BLANK.search(low, begin + limit)
+            end = cut.start() if cut else len(low)
+            yield i, [low[begin:end]]
+            begin = end
+        at = i + 1
+    if held:
+        yield at, held
 
 
 @lru_cache(100_000)
@@ -184,29 +270,52 @@ def features(word: str) -> list[str]:
     return [word + "$", *[word[:k] for k in (4, 5, 6) if len(word) >= k]]
 
 
+def trigrams(tokens: Tokens, dense: int = 1 << 22) -> dict[str, int]:
+    """Trigrams of plain words, each as ^^word$. Up to ``dense`` possible ones are counted in a table, more by sorting."""
+    thrice = tokens.again.copy()
+    thrice[1:] &= tokens.again[:-1]
+    plain = tokens.letters & (ranged(thrice, tokens.low + 2, tokens.high) == 0)
+    low, high = tokens.low[plain], tokens.high[plain]
+    if not len(low):
+        return {}
+    sizes = high - low
+    ends = np.cumsum(sizes + 3)
+    begins = ends - sizes - 3
+    padded = np.empty(ends[-1], np.uint32)
+    word = np.ones(len(padded), bool)
+    for at, mark in ((begins, "^"), (begins + 1, "^"), (ends - 1, "$")):
+        padded[at] = ord(mark)
+        word[at] = False
+    change = np.zeros(len(tokens.codes) + 1, np.int8)
+    change[low] = 1
+    change[high] -= 1
+    padded[word] = tokens.codes[np.cumsum(change[:-1], dtype=np.int8).view(bool)]
+    signs = np.flatnonzero(np.bincount(padded))
+    index = np.zeros(signs[-1] + 1, np.int64)
+    index[signs] = np.arange(len(signs))
+    x, n = index[padded], len(signs)
+    whole = np.ones(len(padded), bool)
+    whole[ends - 1] = whole[ends - 2] = False
+    keys = ((x[:-2] * n + x[1:-1]) * n + x[2:])[whole[:-2]]
+    if n**3 <= dense:
+        counts = np.bincount(keys)
+        keys = np.flatnonzero(counts)
+        counts = counts[keys]
+    else:
+        keys, counts = np.unique(keys, return_counts=True)
+    names = [chr(c) for c in signs.tolist()]
+    parts = zip((keys // (n * n)).tolist(), (keys // n % n).tolist(), (keys % n).tolist(), counts.tolist(), strict=True)
+    return {names[i] + names[j] + names[k]: c for i, j, k, c in parts}
+
+
 def character_model(docs: DataFrame) -> dict[str, int]:
     """Trigram counts of the plain words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
         grams: Counter = Counter()
-
-        def spill() -> None:
-            for w, n in words.items():
-                core = w.strip(EDGE)
-                if core and PLAIN.fullmatch(core):
-                    padded = f"^^{core}$"
-                    for i in range(len(core) + 1):
-                        grams[padded[i : i + 3]] += n
-            words.clear()
-
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    words.update(text.lower().split())
-            if len(words) > 150_000:
-                spill()
-        spill()
+            for _, lows in pieces(batch.column("text").to_pylist()):
+                grams.update(trigrams(Tokens.of(lows)))
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
     counted = bounded_batches(docs.select("text")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -228,6 +337,86 @@ def hinges(top: list[float]) -> list[float]:
     return [*[max(0.0, first - step) for step in (0, 1, 2, 3, 4, 5)], *[max(0.0, second - step) for step in (2, 3, 4)], max(0.0, third - 2)]
 
 
+def spaced_at(tokens: Tokens, doc: np.ndarray) -> np.ndarray:
+    """Tokens that may be the second of a run of single characters (SPACED finds none without such a token)."""
+    size = tokens.end - tokens.start
+    one = size == 1
+    opens = one | ((tokens.kind[tokens.start] & OPEN_KIND) != 0)
+    closes = one | ((tokens.kind[tokens.end - 1] & CLOSE_KIND) != 0)
+    return np.flatnonzero(one[1:-1] & opens[:-2] & closes[2:] & (doc[:-2] == doc[2:])) + 1
+
+
+class Bounds:
+    """Bounds of tokens' values. The first letters of a token, up to a sign or a doubled letter, begin all its readings: the
+    values of these letters' own features, and of all features that begin with them, bound its value. Of a token of single
+    letters only its own features count. Features share the slots of tables by hashes, a slot holds the highest: bounds are
+    never too low."""
+
+    SLOTS = 20
+    FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+    def __init__(self, value: dict[str, float]):
+        self.starts, self.begins, self.wholes = (np.zeros(1 << self.SLOTS) for _ in range(3))
+        self.nothing = max(0.0, value.get("$", 0.0))
+        some = {f: v for f, v in value.items() if v > 0}
+        for whole, kept in ((True, {f[:-1]: v for f, v in some.items() if f[-1:] == "$"}), (False, {f: v for f, v in some.items() if 4 <= len(f) <= 6})):
+            if not kept:
+                continue
+            worth = np.array(list(kept.values()))
+            sizes = np.array([len(f) for f in kept])
+            ends = np.cumsum(sizes)
+            codes = np.frombuffer(("".join(kept) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+            prefixes = list(self._prefixes(codes, ends - sizes, np.minimum(sizes, 6)))
+            for k, h in enumerate(prefixes):
+                np.maximum.at(self.begins, self._slot(h, k)[sizes >= k], worth[sizes >= k])
+                if not whole and k >= 4:
+                    np.maximum.at(self.starts, self._slot(h, k)[sizes == k], worth[sizes == k])
+            if whole:
+                np.maximum.at(self.wholes, self._slot(self._whole(prefixes[6], codes, ends - sizes, ends), 7), worth)
+
+    def _slot(self, h: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+        h = h + np.asarray(k, np.uint64) * self.FACTORS[6]
+        return ((h ^ (h >> np.uint64(29))) * self.FACTORS[0] >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _prefixes(self, codes: np.ndarray, low: np.ndarray, fixed: np.ndarray) -> Iterator[np.ndarray]:
+        """Hashes of the first 0 to 6 code points, ``fixed`` at most."""
+        h = np.zeros(len(low), np.uint64)
+        yield h
+        for j in range(6):
+            h = h + np.where(fixed > j, codes[np.minimum(low + j, len(codes) - 1)], np.uint32(0)) * self.FACTORS[j]
+            yield h
+
+    def _whole(self, first: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hash of the first six code points, the size and the last three."""
+        size = high - low
+        h = first + size.astype(np.uint64) * self.FACTORS[6]
+        for j in range(1, 4):
+            h = h + np.where(size >= j, codes[np.maximum(high - j, 0)], np.uint32(0)) * self.FACTORS[6 + j]
+        return h
+
+    def of(self, tokens: Tokens) -> np.ndarray:
+        low, high, codes = tokens.low, tokens.high, tokens.codes
+        fixed = np.minimum(high - low, 6)
+        odd = np.flatnonzero(~tokens.single)
+        count, going = np.zeros(len(odd), np.int64), np.ones(len(odd), bool)
+        for j in range(6):
+            at = np.minimum(low[odd] + j, len(codes) - 1)
+            going &= (low[odd] + j < high[odd]) & ((tokens.kind[at] & LETTER_KIND) != 0)
+            if j:
+                going &= ~tokens.again[at]
+            count += going
+        fixed[odd] = count
+        bound = np.zeros(len(low))
+        for k, h in enumerate(self._prefixes(codes, low, fixed)):
+            if k >= 4:
+                np.maximum(bound, np.where(fixed >= k, self.starts[self._slot(h, k)], 0.0), out=bound)
+        whole = np.flatnonzero(tokens.single)
+        bound[whole] = np.maximum(bound[whole], self.wholes[self._slot(self._whole(h[whole], codes, low[whole], high[whole]), 7)])
+        bound[odd] = np.maximum(bound[odd], self.begins[self._slot(h[odd], count)])
+        bound[low == high] = self.nothing
+        return bound
+
+
 class Scorer:
     """Scores of texts. table: feature -> (toxic documents, clean documents) that hold it."""
 
@@ -270,22 +459,63 @@ class Scorer:
                 return 0.0
         return self._best(self.restorer.readings(token))[0]
 
+    @cached_property
+    def bounds(self) -> Bounds:
+        return Bounds(self.value)
+
     def top(self, text: str | None) -> list[float]:
+        return self.tops([text])[0]
+
+    def tops(self, texts: list[str | None]) -> list[list[float]]:
+        """The three highest word scores of each text."""
         best = self.best
-        if len(best) > 200_000:
-            best.clear()
-        found = []
-        if text:
-            low = text.lower()
-            for token in set(low.split()):
-                v = best.get(token)
-                if v is None:
-                    v = best[token] = self._token(token)
-                if v > 0:
-                    found.append(v)
-            for m in SPACED.finditer(low):
-                found += self._best(self.restorer.apart(m.group()))
-        return self._top(found)
+        found: list[list[dict[str, float]]] = [[] for _ in texts]
+        runs = set()
+        for base, lows in pieces(texts):
+            tokens = Tokens.of(lows)
+            bound = self.bounds.of(tokens)
+            last = np.cumsum([len(x) + 1 for x in lows])  # the line end behind each text
+            doc = np.searchsorted(last, tokens.start)
+            if len(lows) == 1:
+                runs.add(base)  # it may be a piece
+            else:
+                runs.update((base + np.unique(doc[spaced_at(tokens, doc)])).tolist())
+            some = np.flatnonzero(bound > 0)
+            order = some[np.lexsort((-bound[some], doc[some]))]
+            ends = np.searchsorted(doc[order], np.arange(len(lows)), "right").tolist()
+            limits, starts, stops, text = bound[order].tolist(), tokens.start[order].tolist(), tokens.end[order].tolist(), tokens.text
+            begin = 0
+            for i, end in enumerate(ends):
+                values: dict[str, float] = {}
+                least, three = 0.0, []
+                for k in range(begin, end):
+                    if limits[k] <= least:
+                        break
+                    token = text[starts[k] : stops[k]]
+                    if token in values:
+                        continue
+                    v = best.get(token)
+                    if v is None:
+                        if len(best) > 200_000:
+                            best.clear()
+                        v = best[token] = self._token(token)
+                    values[token] = v
+                    if v > least:
+                        three = sorted([*three, v], reverse=True)[:3]
+                        least = three[2] if len(three) == 3 else 0.0
+                begin = end
+                found[base + i].append({t: v for t, v in values.items() if v > 0})
+        out = []
+        for i, parts in enumerate(found):
+            distinct: dict[str, float] = {}
+            for part in parts:  # a token of several pieces of a text counts once
+                distinct.update(part)
+            values = list(distinct.values())
+            if i in runs:
+                for m in SPACED.finditer((texts[i] or "").lower()):
+                    values += self._best(self.restorer.apart(m.group()))
+            out.append(self._top(values))
+        return out
 
     def top_without(self, text: str | None, label: int) -> list[float]:
         """The same for a learned text, without its own part in the counts."""
@@ -305,10 +535,13 @@ class Scorer:
         return self._top(found)
 
     def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
         if self.weights is None:
-            return 0.0
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], hinges(self.top(text)), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            return [0.0] * len(texts)
+        z = [self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], hinges(top), strict=True)) for top in self.tops(texts)]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 4000) -> np.ndarray:
@@ -383,7 +616,7 @@ def apply(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*model.value)
         for batch in slices(batches, "text"):
-            scores = [own.score(t) for t in batch.column("text").to_pylist()]
+            scores = own.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)

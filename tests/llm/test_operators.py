@@ -166,6 +166,71 @@ def test_restoring_spaced():
     assert "stupid" in r.words("a b " * 5000 + "s t u p i d")
 
 
+def test_scores_by_bounds(monkeypatch):
+    """The three highest word scores against those of all tokens, with few of them restored, and trigrams against counting
+    each word; whole texts and texts cut into pieces."""
+    from collections import Counter
+
+    from strandlog.llm import toxicity
+
+    draw = random.Random(21)
+    words = ["".join(draw.choice("abdeilmnorstu") for _ in range(draw.randint(3, 9))) for _ in range(3000)]
+    plain = [*words, "idiot", "stupid", "off", "scum", "straße", "été", "\u4e00\u4e8c"]
+    want = Counter(f"^^{w}$"[i : i + 3] for w in plain for i in range(len(w) + 1) if toxicity.PLAIN.fullmatch(w))
+    seen = {"idiot$": (60, 0), "idio": (60, 1), "stup": (50, 1), "off$": (40, 3), "scum$": (40, 2), "a$": (9, 9)}
+    seen |= {w + "$": (draw.randint(2, 30), draw.randint(0, 40)) for w in words[:600]} | {w[:4]: (draw.randint(2, 30), draw.randint(0, 40)) for w in words[:300]}
+
+    def token() -> str:
+        w = draw.choice([*plain[-7:], "1d10t", "$cum", "idiiiot", "a", "i", "***", "(a", "b).", "''", "İdiot", "ΟΔΟΣ", "٣x", "²", "_s_", *draw.sample(plain, 20)])
+        for _ in range(draw.choice([0, 0, 0, 1, 2])):
+            at = draw.randint(0, len(w))
+            w = w[:at] + draw.choice("01!$*.,ae-éİ") + w[at:]
+        return w.upper() if draw.random() < 0.1 else w
+
+    texts = [None, "", " ", "a", "a b", "(i d i o t).", "x\x1cy\x85z\u3000w\xa0q"]
+    texts += ["".join(token() + draw.choice([" ", " ", "\n", "\t ", "\x1d", "\u2003"]) for _ in range(draw.randint(0, 60))) for _ in range(250)]
+    texts += [" ".join(draw.choice("aeiostd10!") for _ in range(draw.randint(1, 12))) for _ in range(60)]
+    texts += [" ".join(x for x in texts if x)]
+
+    def brute(scorer: toxicity.Scorer, text: str | None) -> list[float]:
+        low = (text or "").lower()
+        values = [scorer._token(t) for t in set(low.split())]
+        for m in toxicity.SPACED.finditer(low):
+            values += scorer._best(scorer.restorer.apart(m.group()))
+        return scorer._top(values)
+
+    def fresh() -> toxicity.Scorer:
+        return toxicity.Scorer(dict(want), seen, 100, 100)
+
+    decoded = Counter()
+    decode = toxicity.Restorer.decode
+    monkeypatch.setattr(toxicity.Restorer, "decode", lambda self, *a: (decoded.update(n=1), decode(self, *a))[1])
+    one = fresh()
+    expected = [brute(one, t) for t in texts]
+    scorer = fresh()
+    assert [scorer.top(t) for t in texts] == expected and max(expected)[2] > 2
+    assert fresh().tops(texts) == expected
+    # signs behind words that cannot score as high as the first three are not restored
+    many = "idiot stupid scum " + " ".join(w + x for w in words[1000:] for x in ("$$$", "***"))
+    decoded.clear()
+    scorer = fresh()
+    top = scorer.top(many)
+    few = decoded["n"]
+    assert top == brute(fresh(), many) and few < 0.1 * (decoded["n"] - few)
+    cut = toxicity.pieces
+    monkeypatch.setattr(toxicity, "pieces", lambda texts: cut(texts, 300))
+    assert fresh().tops(texts) == expected
+    monkeypatch.setattr(toxicity.Bounds, "SLOTS", 5)
+    assert fresh().tops(texts) == expected
+    counted, again = Counter(), Counter()
+    for core in (w.strip(toxicity.EDGE) for t in texts for w in (t or "").lower().split()):
+        if core and toxicity.PLAIN.fullmatch(core):
+            counted.update(f"^^{core}$"[i : i + 3] for i in range(len(core) + 1))
+    for _, lows in cut(texts, 300):
+        again.update(toxicity.trigrams(toxicity.Tokens.of(lows)))
+    assert again == counted == toxicity.trigrams(toxicity.Tokens.of([(t or "").lower() for t in texts]), dense=0)
+
+
 def test_character_model_whole(spark):
     from collections import Counter
 
