@@ -61,7 +61,7 @@ BLANK_KIND, LETTER_KIND, EDGE_KIND, OPEN_KIND, CLOSE_KIND = 1, 2, 4, 8, 16
 @lru_cache(1)
 def kinds() -> np.ndarray:
     """For each code point: whether it is a blank, a letter, of EDGE, or may stand before or after spaced characters."""
-    every = "".join(map(chr, range(0x110000)))
+    every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
     out = np.zeros(len(every), np.uint8)
     for pattern, bit in ((BLANK, BLANK_KIND), (LETTERS, LETTER_KIND), *((re.compile(f"[{re.escape(x)}]"), bit) for x, bit in ((EDGE, EDGE_KIND), ("\"'([{«“‘¿¡", OPEN_KIND), (".,;:!?\"')]}»”’…", CLOSE_KIND)))):
         for m in re.finditer(f"(?:{pattern.pattern})+", every):
@@ -114,7 +114,7 @@ class Tokens:
         return cls(text, codes, kind, start, end, low, high, again, letters, letters & (ranged(again, low + 1, high) == 0))
 
 
-def pieces(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def pieces(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Lower-case texts, some at a time, with the index of the first. A text that is longer than ``limit`` comes alone, cut at
     blanks; all its pieces have its index."""
     held: list[str] = []
